@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Inside and outside of a word, as every contract of this package has it.
@@ -110,3 +110,32 @@ def digest(spans: Column) -> Column:
         ),
         ",",
     )
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with a gapless number from 0 within ``keys``; no key's rows ever meet in one task.
+
+    Rows are dealt into about the square root of their count buckets by a hash
+    of ``order``; a bucket's first number is the count of all buckets before it,
+    so a window never spans more than a bucket, or a key's list of buckets.
+    """
+    n_rows = df.count()
+    n = F.lit(max(1, int(n_rows**0.5)))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), n))
+    before = (
+        dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+        .withColumn(
+            "_before",
+            F.coalesce(
+                F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+                F.lit(0),
+            ),
+        )
+        .select(*keys, "_bucket", "_before")
+    )
+    place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
+    return (
+        dealt.join(before, [*keys, "_bucket"])
+        .withColumn(name, (F.col("_before") + place).cast("long"))
+        .select(*df.columns, name)
+    )

@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyperminhash, toxicity
+from . import bitplanes, decontaminate, hyperminhash, packing, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.occurrences(
+        table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    )
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokens.default_path("byte_bpe_50k.json"))
+
+
+def op9_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokens.default_path("word_bpe_49k.json"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -28,7 +42,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
+        "op9_bit_plane_token_files": op9_bit_plane_token_files,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
