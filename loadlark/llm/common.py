@@ -73,28 +73,18 @@ def regex_spans(text: Column, pattern: str) -> Column:
     """
     empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
+    def placed(h: Column, gaps: Column) -> Column:
+        before = running_totals(F.zip_with(gaps, h, lambda g, m: F.length(g) + F.length(m)))
+        heads = F.zip_with(before, gaps, lambda b, g: b + F.length(g))
+        return F.zip_with(
+            heads, h, lambda a, m: F.struct(a.alias("start"), (a + F.length(m)).alias("end"), m.alias("value"))
+        )
+
     def of(t: Column) -> Column:
-        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        gaps = F.split(t, pattern, -1)
         return let(
-            hits,
+            F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
             lambda h: F.when(F.size(h) == 0, empty).otherwise(
-                let(
-                    running_totals(
-                        F.zip_with(
-                            F.slice(gaps, F.lit(1), F.size(h)), h, lambda g, m: F.length(g) + F.length(m)
-                        )
-                    ),
-                    lambda before: F.zip_with(
-                        F.zip_with(h, before, lambda m, b: F.struct(m.alias("m"), b.alias("b"))),
-                        F.slice(gaps, F.lit(1), F.size(h)),
-                        lambda x, g: F.struct(
-                            (x["b"] + F.length(g)).alias("start"),
-                            (x["b"] + F.length(g) + F.length(x["m"])).alias("end"),
-                            x["m"].alias("value"),
-                        ),
-                    ),
-                )
+                let(F.slice(F.split(t, pattern, -1), F.lit(1), F.size(h)), lambda gaps: placed(h, gaps))
             ),
         )
 
@@ -112,16 +102,16 @@ def digest(spans: Column) -> Column:
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, spread: Column | None = None) -> DataFrame:
     """``df`` with a gapless number from 0 within ``keys``; no key's rows ever meet in one task.
 
-    Rows are dealt into about the square root of their count buckets by a hash
-    of ``order``; a bucket's first number is the count of all buckets before it,
+    Rows are dealt into about the square root of their count buckets by
+    ``spread``, a hash of ``order`` if not given; a bucket's first number is the count of all buckets before it,
     so a window never spans more than a bucket, or a key's list of buckets.
     """
     n_rows = df.count()
     n = F.lit(max(1, int(n_rows**0.5)))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), n))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order) if spread is None else spread, n))
     before = (
         dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
         .withColumn(

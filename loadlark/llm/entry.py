@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, decontaminate, hyperminhash, packing, tokens, toxicity
+from . import bitplanes, decontaminate, hyperminhash, jump_shards, packing, quality_llr, secrets_markov, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +19,24 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return secrets_markov.scan(docs, secrets_markov.fit(docs))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_llr.judge(docs, quality_llr.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokens.default_path("byte_bpe_50k.json"))
 
 
+def op8_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jump_shards.shard(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokens.default_path("word_bpe_49k.json"))
 
@@ -43,12 +57,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_secret_scan": op4_secret_scan,
+        "op5_quality_rules": op5_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
+        "op8_jump_hash_sharding": op8_jump_hash_sharding,
         "op9_bit_plane_token_files": op9_bit_plane_token_files,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_jump_hash_sharding": jump_shards.ORACLE}
