@@ -13,6 +13,9 @@ No bucket is ever expanded into all its pairs:
 * buckets with the same members count once;
 * a bucket of more than ``block`` members is split, and each pair of blocks is
   one piece of work, so that no task holds a whole hot bucket;
+* next to the registers stands a bitmap of the set; two sets differ in at least
+  as many shingles as their bitmaps in bits, which drops, without loss, nearly
+  all pairs below the threshold before they leave their piece;
 * a first round takes from each piece a spanning forest of its most similar
   pairs, confirms it and labels the components; a second round confirms those
   remaining pairs whose ends are still in different components. Links within a
@@ -42,6 +45,8 @@ from . import arrowtext as A
 from .common import durable
 
 MANTISSA = 10
+#: Bits of a set's bitmap, as a power of two.
+MAP_BITS = 11
 
 
 @dataclass(frozen=True)
@@ -126,8 +131,15 @@ def registers(flat: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
     return compress(out)
 
 
+def bitmaps(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of ``2**MAP_BITS`` bits for each set: those that its shingles hash to."""
+    bits = np.zeros((len(bounds) - 1, 1 << MAP_BITS), bool)
+    bits[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), (flat >> A.U(64 - MAP_BITS)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1)
+
+
 def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``doc_id, n, k1, k2, regs``: set size, a 128-bit key of the set, and the registers."""
+    """``doc_id, n, k1, k2, regs``: set size, a 128-bit key of the set, the registers and then the bitmap."""
 
     def made(batches):
         for b in batches:
@@ -139,8 +151,8 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
                     sums = np.concatenate([np.zeros(1, A.U), np.cumsum(h)])
                     keys.append((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
                 n.append(sizes)
-                packed = iter(registers(flat, bounds, plan.registers))
-                regs += [next(packed).tobytes() if size else None for size in sizes.tolist()]
+                packed, maps = iter(registers(flat, bounds, plan.registers)), bitmaps(flat, bounds)
+                regs += [next(packed).tobytes() + own.tobytes() if size else None for size, own in zip(sizes.tolist(), maps, strict=True)]
             cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(cat(n)), pa.array(cat(k1)), pa.array(cat(k2)), pa.array(regs, pa.binary())],
@@ -202,14 +214,17 @@ def pair_blocks(members: DataFrame, plan: Plan, forest: bool) -> DataFrame:
     def work(lo, hi, blk, rep, n, comp, regs):
         order = np.argsort(blk, kind="stable") if lo != hi else np.arange(len(rep))
         rep, n, comp = rep[order], n[order], comp[order]
-        regs = np.frombuffer(b"".join(regs[k] for k in order), np.uint16).reshape(len(rep), width)
+        both = np.frombuffer(b"".join(regs[k] for k in order), np.uint8).reshape(len(rep), -1)
+        regs = np.ascontiguousarray(both[:, : 2 * width]).view(np.uint16)
+        maps = np.ascontiguousarray(both[:, 2 * width :]).view(np.uint64)
         split = int(np.searchsorted(blk[order], hi)) if lo != hi else 0
         rows_a = range(split) if lo != hi else range(len(rep) - 1)
         found_a, found_b, found_e = [], [], []
         for x in rows_a:
             others = np.arange(split, len(rep)) if lo != hi else np.arange(x + 1, len(rep))
+            differ = np.bitwise_count(maps[others] ^ maps[x]).sum(1, dtype=np.int64)
             small, large = np.minimum(n[others], n[x]), np.maximum(n[others], n[x])
-            ok = 100 * small >= percent * large
+            ok = (100 * small >= percent * large) & ((100 + percent) * differ <= (100 - percent) * (small + large))
             if not forest:
                 ok &= comp[others] != comp[x]
             others = others[ok]
