@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, decontaminate, hyperminhash, jump_shards, packing, quality_llr, secrets_markov, tokens, toxicity
+from . import bitplanes, decontaminate, hyperminhash, jump_shards, packing, quality_llr, secrets_markov, tokens, toxicity, url_lists
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    return url_lists.decide(url_lists.sample_captures(pages), url_lists.sample_entries(pages))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.occurrences(
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
@@ -56,6 +61,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_list_filter": op1_url_list_filter,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,
@@ -68,4 +74,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_jump_hash_sharding": jump_shards.ORACLE}
+    return {"op1_url_list_filter": url_lists.ORACLE, "op8_jump_hash_sharding": jump_shards.ORACLE}
