@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, decontaminate, hyperminhash, jump_shards, packing, quality_llr, secrets_markov, tokens, toxicity, url_lists
+from . import bitplanes, decontaminate, hyperminhash, jump_shards, packing, pii, quality_llr, secrets_markov, tokens, toxicity, url_lists
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_url_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.decide(url_lists.sample_captures(pages), url_lists.sample_entries(pages))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.scan(docs, pii.fit(docs))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.occurrences(
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
@@ -62,6 +67,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_url_list_filter": op1_url_list_filter,
+        "op2_pii": op2_pii,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,

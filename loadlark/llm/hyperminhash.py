@@ -306,6 +306,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def deduplicated(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """``docs`` with the least id of each class; all rows of a kept id, and those without an id, stay."""
+    gone = near_duplicates(docs, plan).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``."""
     sigs = durable(signatures(docs, plan))
