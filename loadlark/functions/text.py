@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .classes import result_letter
 
-_VENUE = r"(?i)\s*(casa|fora)\b"
-_PREFIX = r"^(Jornada\s+\d+(\s+Ap\.?\s*Campeão)?|Jogo\s+Treino|Jogo\s+Taça|Jogo)"
+# Fixed pattern: how a label starts.
+_PREFIX = r"(?i)^\s*(jornada\s*\d+(\s*ap\.?\s*campeão)?|jogo\s+treino|jogo\s+taça|jogo)\s*"
+_BEFORE_VENUE = r"(?is)^(.*?)\(\s*(?:casa|fora)\s*\)"
+_SCORE = r"(\d{1,2}|\?)\s*[-–]\s*(\d{1,2}|\?)\s*$"
 _EDGE = " -–\t"
 
 
@@ -20,22 +22,22 @@ def blank(c: Column) -> Column:
 def parse_label(label: Column) -> Column:
     """``struct<opponent, venue, goals_for, goals_against, scoreline, team_result, matchweek>`` of a match label.
 
-    ``<prefix> [-] <opponent> (CASA|FORA) <home>-<away>``; the venue word is
-    required, without it all fields are null. Scores are home first; ``?`` keeps
-    the score line alone.
+    ``<prefix> [-] <opponent> (CASA|FORA) <home>-<away>``; without the venue in
+    brackets all fields are null. Scores are home first; ``?`` keeps the score
+    line alone. The matchweek keeps a play-off suffix.
     """
-    has = label.rlike(_VENUE)
-    head = F.regexp_extract(label, r"(?i)^(.*?)\s*\b(?:casa|fora)\b", 1)
-    opponent = blank(F.btrim(F.regexp_replace(head, f"(?i){_PREFIX}", ""), F.lit(_EDGE)))
-    venue = F.when(F.upper(F.regexp_extract(label, r"(?i)\b(casa|fora)\b", 1)) == "CASA", "Home").otherwise("Away")
-    line = F.regexp_extract(label, r"((?:\d+|\?)\s*-\s*(?:\d+|\?))\s*$", 1)
-    line = blank(F.regexp_replace(line, r"\s", ""))
-    home = F.regexp_extract(line, r"^(\d+)-", 1).try_cast("int")
-    away = F.regexp_extract(line, r"-(\d+)$", 1).try_cast("int")
+    has = label.rlike(r"(?i)\(\s*(casa|fora)\s*\)")
+    head = F.regexp_extract(label, _BEFORE_VENUE, 1)
+    tail = F.regexp_extract(label, r"(?is)^.*?\(\s*(?:casa|fora)\s*\)(.*)$", 1)
+    opponent = blank(F.btrim(F.btrim(F.regexp_replace(head, _PREFIX, ""), F.lit(_EDGE))))
+    venue = F.when(F.lower(F.regexp_extract(label, r"(?i)\(\s*(casa|fora)\s*\)", 1)) == "casa", "home").otherwise("away")
+    left, right = blank(F.regexp_extract(tail, _SCORE, 1)), blank(F.regexp_extract(tail, _SCORE, 2))
+    home, away = left.try_cast("int"), right.try_cast("int")
     known = home.isNotNull() & away.isNotNull()
-    goals_for = F.when(known, F.when(venue == "Home", home).otherwise(away))
-    goals_against = F.when(known, F.when(venue == "Home", away).otherwise(home))
-    week = F.regexp_extract(label, r"(?i)^Jornada\s+(\d+)", 1).try_cast("int")
+    goals_for = F.when(known, F.when(venue == "home", home).otherwise(away))
+    goals_against = F.when(known, F.when(venue == "home", away).otherwise(home))
+    line = F.when(known, F.concat_ws("-", home, away)).when(left.isNotNull(), F.concat(left, F.lit("-"), right))
+    week = blank(F.btrim(F.regexp_replace(F.regexp_extract(label, r"(?i)^\s*jornada\s*(\d+\s*(?:ap\.?\s*campeão)?)", 1), r"\s+", " ")))
     fields = {
         "opponent": opponent, "venue": venue, "goals_for": goals_for, "goals_against": goals_against,
         "scoreline": line, "team_result": result_letter(goals_for, goals_against), "matchweek": week,
@@ -45,16 +47,16 @@ def parse_label(label: Column) -> Column:
 
 def build_label(competition: Column, matchweek: Column, opponent: Column, venue: Column, goals_for: Column, goals_against: Column) -> Column:
     """The inverse of :func:`parse_label`; unknown goals are ``?``."""
+    week = blank(F.btrim(matchweek.cast("string")))
     prefix = (
-        F.when(competition == "Campeonato", F.concat(F.lit("Jornada "), matchweek.cast("string"), F.lit(" - ")))
+        F.when(competition == "Campeonato", F.concat(F.lit("Jornada"), F.coalesce(F.concat(F.lit(" "), week), F.lit("")), F.lit(" - ")))
         .when(competition == "Taça", "Jogo Taça - ")
         .otherwise("Jogo Treino ")
     )
-    home, away = F.when(venue == "Home", goals_for).otherwise(goals_against), F.when(venue == "Home", goals_against).otherwise(goals_for)
+    at_home = venue == "home"
+    home, away = F.when(at_home, goals_for).otherwise(goals_against), F.when(at_home, goals_against).otherwise(goals_for)
     number = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
-    return F.concat(
-        prefix, opponent, F.when(venue == "Home", " (CASA) ").otherwise(" (FORA) "), number(home), F.lit("-"), number(away)
-    )
+    return F.concat(prefix, F.btrim(opponent), F.when(at_home, " (CASA) ").otherwise(" (FORA) "), number(home), F.lit("-"), number(away))
 
 
 def parse_minutes(c: Column) -> Column:

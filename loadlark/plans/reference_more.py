@@ -320,7 +320,7 @@ def _label_parts(spark, d):
     m = B.matches(spark, d)
     home = F.col("match_id") % 2 == 0
     return m.select(
-        "match_id", "matchweek_number", F.col("away_team").alias("opponent"), F.when(home, "Home").otherwise("Away").alias("venue"),
+        "match_id", "matchweek_number", F.col("away_team").alias("opponent"), F.when(home, "home").otherwise("away").alias("venue"),
         F.when(F.col("match_id") % 3 == 0, "Campeonato").when(F.col("match_id") % 3 == 1, "Taça").otherwise("Treino").alias("competition"),
         F.when(home, F.col("home_goals")).otherwise(F.col("away_goals")).alias("gf"), F.when(home, F.col("away_goals")).otherwise(F.col("home_goals")).alias("ga"),
     )
@@ -337,11 +337,11 @@ def build_label(spark, d):
     return _labels(spark, d)
 
 
-@query("""SELECT match_id, opponent, CASE word WHEN 'CASA' THEN 'Home' ELSE 'Away' END AS venue, CASE word WHEN 'CASA' THEN hg ELSE ag END AS goals_for, CASE word WHEN 'CASA' THEN ag ELSE hg END AS goals_against,
+@query("""SELECT match_id, opponent, CASE word WHEN 'CASA' THEN 'home' ELSE 'away' END AS venue, CASE word WHEN 'CASA' THEN hg ELSE ag END AS goals_for, CASE word WHEN 'CASA' THEN ag ELSE hg END AS goals_against,
   hg::VARCHAR || '-' || ag::VARCHAR AS scoreline, CASE WHEN hg = ag THEN 'D' WHEN (hg > ag) = (word = 'CASA') THEN 'W' ELSE 'L' END AS team_result,
-  CASE competition WHEN 'Campeonato' THEN matchweek_number END AS matchweek FROM labels_made""", MAT, _LABELS)
+  CASE competition WHEN 'Campeonato' THEN matchweek_number::VARCHAR END AS matchweek FROM labels_made""", MAT, _LABELS)
 def parse_label(spark, d):
-    return _labels(spark, d).select("match_id", text.parse_label(F.regexp_replace("label", r" \((CASA|FORA)\) ", " $1 ")).alias("p")).select("match_id", "p.*")
+    return _labels(spark, d).select("match_id", text.parse_label(F.col("label")).alias("p")).select("match_id", "p.*")
 
 
 _LINEUP = """lineup AS (SELECT e.user_id AS name, 'm' || (e.event_id % 500)::VARCHAR AS match_url, 't' || (e.user_id % 7)::VARCHAR AS team, CASE WHEN e.event_id % 3 = 0 THEN 'Suplente' ELSE 'Starter' END AS status,
