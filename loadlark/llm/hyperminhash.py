@@ -11,15 +11,15 @@ No bucket is ever expanded into all its pairs:
 
 * documents with the same set are one class before any banding;
 * buckets with the same members count once;
-* a bucket of more than ``block`` members is split, and each pair of blocks is
-  one piece of work, so that no task holds a whole hot bucket;
+* a bucket of more than ``block`` members is split into blocks, so that no task
+  holds a whole hot bucket;
 * next to the registers stands a bitmap of the set; two sets differ in at least
   as many shingles as their bitmaps in bits, which drops, without loss, nearly
   all pairs below the threshold before they leave their piece;
-* a first round takes from each piece a spanning forest of its most similar
+* a first round takes from each block a spanning forest of its most similar
   pairs, confirms it and labels the components; a second round confirms those
-  remaining pairs whose ends are still in different components. Links within a
-  component can't change the result, so none is lost.
+  remaining pairs of a bucket whose ends are still in different components. Links
+  within a component can't change the result, so none is lost.
 
 Components come from label propagation with pointer jumping, cut by
 checkpoints. With 30 bands of 6 registers a pair at 0.85 is missed with
@@ -55,7 +55,7 @@ class Plan:
     percent: int = 85
     bands: int = 30
     rows: int = 6
-    block: int = 256
+    block: int = 512
     #: Standard deviations that an estimate may lie below the threshold.
     margin: float = 6.0
 
@@ -193,19 +193,30 @@ def _forest(a: np.ndarray, b: np.ndarray, est: np.ndarray) -> list[int]:
 
 
 def pair_blocks(members: DataFrame, plan: Plan, forest: bool) -> DataFrame:
-    """Candidate pairs ``a < b`` of each block pair.
+    """Candidate pairs ``a < b`` of each piece of the buckets.
 
     ``members``: bucket, m (its size), rep, n, comp, regs. With ``forest`` a
-    spanning forest of each block pair; else its pairs between components.
+    spanning forest of each block; else all pairs between components: ``main`` is
+    the bucket's largest one, with ``n_main`` members. Members of others meet all
+    blocks, those of the largest only the blocks of others, so that copies of
+    rows grow with the few that are still apart, not with the bucket.
     """
-    blocks = F.ceil(F.col("m") / F.lit(plan.block)).cast("int")
-    dealt = (
-        members.withColumn("nb", blocks)
-        .withColumn("blk", F.expr("cast(pmod(xxhash64(rep, 7), nb) as int)"))
-        .withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-        .select(
-            "bucket", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "rep", "n", "comp", "regs",
+    pick = lambda n: F.pmod(F.xxhash64("rep", "bucket"), n).cast("int")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(plan.block)).cast("int"))
+    if forest:
+        # blocks of their own for each bucket: what one keeps apart another brings together
+        dealt = members.withColumn("blk", pick(blocks(F.col("m")))).withColumns({"lo": F.col("blk"), "hi": F.col("blk")})
+    else:
+        main = F.col("comp") == F.col("main")
+        rare, common = blocks(F.col("m") - F.col("n_main")), blocks(F.col("n_main"))
+        dealt = (
+            members.withColumns({"rare": rare, "common": common})
+            .withColumn("blk", F.when(main, F.col("rare") + pick(F.col("common"))).otherwise(pick(F.col("rare"))))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, F.col("rare")).otherwise(F.col("rare") + F.col("common")) - 1)))
+            .withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")})
         )
+    dealt = (
+        dealt.select("bucket", "lo", "hi", "blk", "rep", "n", "comp", "regs")
         .repartition("bucket", "lo", "hi")
         .sortWithinPartitions("bucket", "lo", "hi", "rep")
     )
@@ -363,8 +374,12 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     marked = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "bucket", "m", "rep", F.coalesce("comp", "rep").alias("comp")
     )
-    mixed = marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    rest = marked.join(mixed, "bucket").join(facts, "rep").select("bucket", "m", "rep", "n", "comp", "regs")
+    largest = durable(
+        marked.groupBy("bucket", "m", "comp").agg(F.count("*").alias("c"))
+        .groupBy("bucket", "m").agg(F.max(F.struct("c", "comp")).alias("t"))
+        .filter("t.c < m").select("bucket", F.col("t.comp").alias("main"), F.col("t.c").alias("n_main"))
+    )
+    rest = marked.join(largest, "bucket").join(facts, "rep").select("bucket", "m", "rep", "n", "comp", "regs", "main", "n_main")
     left = durable(pair_blocks(rest, plan, forest=False).join(tried, ["a", "b"], "left_anti"))
     more = durable(confirmed(left, sets, plan))
     if not more.isEmpty():

@@ -2,22 +2,26 @@
 
 A byte-level or word-level tokenizer never joins text across a single space or
 line end that stands between two words, so the ids of a text are those of its
-words, each with the space before it. Words repeat, so each task keeps the ids
-of the words it has met (up to ``KEPT``) and encodes only new ones, many in one
-call. Texts with other runs of white space are encoded whole.
+words, each with the space before it, and those of letters with punctuation
+behind them are those of the letters and of the punctuation. Words repeat, so
+each task keeps the ids of the words it has met (up to ``KEPT``) and encodes only
+new ones, many in one call. Texts with other runs of white space are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-KEPT = 500_000
+KEPT = 1_000_000
 TEXTS_AT_ONCE = 256
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD = re.compile(r"[^\S \n]|\s\s")
 _encoders: dict[str, Encoder] = {}
 
@@ -28,6 +32,11 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The printable character that stands for each byte in a byte-level vocabulary: itself, or the next one from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip(sorted(set(range(256)) - {*_PLAIN}), map(chr, range(256, 512)), strict=False))
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
@@ -36,38 +45,56 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.lower = self.tokenizer.model, self.tokenizer.normalizer is not None
+        self.spaced = self.whole(" a") != self.whole("a")
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        # a vocabulary of another kind has all its words encoded by the whole tokenizer
+        self.direct = all(self._letters(w, True) == self.whole(" " + w) and self._letters(w, False) == self.whole(w) for w in ("the", "Übermaß", "STRAßE", "ñandú"))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, word: str, after_space: bool) -> bytes:
+        """Ids of a word of Latin letters, straight from the model's merges."""
+        if self.lower:
+            word = unicodedata.normalize("NFC", word).lower()
+        piece = word.encode().decode("latin-1").translate(_BYTES)
+        if after_space and self.spaced:
+            piece = "\u0120" + piece
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            if len(self.marks) >= KEPT // 10:
+                self.marks.clear()
+            self.marks[mark] = self.whole(mark)
+        return self.marks[mark]
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that follow a space; a word that starts with a line end follows none."""
-        out, plain = {}, []
+        out = {}
         for w in words:
-            if len(w) > 1 or w not in ("", "\n"):
-                plain.append(w)
+            new_line = w[:1] == "\n"
+            core = w[1:] if new_line else w
+            stem = core.rstrip(_MARKS)
+            if self.direct and stem.isalpha() and max(stem) < "\u0250":
+                ids = self._letters(stem, not new_line)
+                if new_line:
+                    ids = self._mark("\n") + ids
+                out[w] = ids + self._mark(core[len(stem) :]) if len(stem) < len(core) else ids
             else:
-                out[w] = self.whole(w or " ")
-        if plain:
-            pieces = [w if w[0] == "\n" else " " + w for w in plain]
-            starts = np.cumsum([0, *map(len, pieces)])
-            enc = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
-            ids = np.array(enc.ids, "<u4")
-            at = np.fromiter((a for a, _ in enc.offsets), np.int64, len(ids))
-            cuts = (np.searchsorted(at, starts) * 4).tolist()
-            raw = ids.tobytes()
-            out |= {w: raw[a:b] for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True)}
+                out[w] = self.whole(w if new_line else " " + w)
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), TEXTS_AT_ONCE):
             part = texts[i : i + TEXTS_AT_ONCE]
             split = [None if _ODD.search(t) else t.replace("\n", " \n").split(" ") for t in part]
-            new = set().union(*(s[1:] for s in split if s)) - self.known.keys()
+            new = set().union(*(s[1:] for s in split if s)).difference(self.known)
             ids = self.known
             if new:
-                learned = self._learn(sorted(new))
+                learned = self._learn(list(new))
                 if len(self.known) + len(learned) <= KEPT:
                     self.known |= learned
                 else:
