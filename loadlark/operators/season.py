@@ -94,19 +94,28 @@ def expected_goals(fixtures: DataFrame, strength: DataFrame, goals_scale: float
     )
 
 
-def poisson(mean: Column, u: Column, most: int = 30) -> Column:
-    """The Poisson quantile at ``u``: counts how often the running distribution is below it."""
+def poisson_steps(mean: Column, most: int = 30) -> Column:
+    """The Poisson distribution function at 0 to ``most - 1``."""
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(most)),
-        F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k")),
+        F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.expr("cast(array() as array<double>)").alias("all")),
         lambda s, i: F.struct(
-            (s["p"] * mean / i).alias("p"), (s["c"] + s["p"] * mean / i).alias("c"),
-            F.when(u > s["c"], i).otherwise(s["k"]).alias("k"),
+            (s["p"] * mean / i).alias("p"), (s["c"] + s["p"] * mean / i).alias("c"), F.array_append(s["all"], s["c"]).alias("all")
         ),
-        lambda s: s["k"],
+        lambda s: s["all"],
     )
 
 
+def quantile(steps: Column, u: Column) -> Column:
+    """How many ``steps`` are below ``u``."""
+    return F.size(F.filter(steps, lambda c: u > c))
+
+
+def poisson(mean: Column, u: Column, most: int = 30) -> Column:
+    """The Poisson quantile at ``u``: counts how often the running distribution is below it."""
+    return quantile(poisson_steps(mean, most), u)
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on ``parts`` alone, so on no partitioning."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / float(1 << 53)
@@ -116,13 +125,16 @@ def simulate(played: DataFrame, remaining: DataFrame, n: int = 1000, seed: int =
     """``(table, positions)``: mean final statistics and chances, and how often each team ends in each place.
 
     Only remaining fixtures are drawn; what was played is added once to each
-    simulated table, by team.
+    simulated table, by team. A fixture's distributions are made once, before its
+    draws; fixtures are dealt to all cores, as their draws are the work.
     """
     strength = team_strength(played)
     xg = expected_goals(remaining, strength, goals_scale)
-    draws = xg.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sim"))
+    parts = remaining.sparkSession.sparkContext.defaultParallelism * 2
+    steps = xg.repartition(parts, "matchweek_number", "home_team", "away_team").withColumns({f"_{p}": poisson_steps(F.col(f"{p}_xg")) for p in ("home", "away")})
+    draws = steps.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sim"))
     u = lambda side: uniform(F.lit(seed), "sim", "matchweek_number", "home_team", "away_team", F.lit(side))
-    drawn = draws.withColumns({"home_goals": poisson(F.col("home_xg"), u("h")), "away_goals": poisson(F.col("away_xg"), u("a"))})
+    drawn = draws.withColumns({"home_goals": quantile(F.col("_home"), u("h")), "away_goals": quantile(F.col("_away"), u("a"))})
     numbers = ["points", "wins", "draws", "losses", "goals_scored", "goals_conceded", "gd", "played"]
     both = league_table(played).select("team", *numbers)
     teams = both.select("team").union(remaining.select("home_team")).union(remaining.select("away_team")).distinct()

@@ -1,9 +1,12 @@
+import math
 from datetime import date
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loadlark.functions import anthropometry, text
 from loadlark.operators import asof, body, correlation, models, players, season
+from loadlark.plans.reference import queries
 from loadlark.sources import readers, sinks
 from loadlark.streaming.weekly import weekly_load_stream
 
@@ -29,6 +32,56 @@ def test_simulation_adds_up_and_is_reproducible(spark):
     assert places.agg(F.sum("times")).first()[0] == 500
 
 
+def test_season_query_is_the_brute_force_of_all_remaining_fixtures(spark):
+    sf, n = "/root/testdata/sf0.001", 1000
+    played = [tuple(r) for r in queries()["fixtures_played"](spark, sf).select("home_team", "away_team", "home_goals", "away_goals").collect()]
+    remaining = queries()["fixtures_remaining"](spark, sf).cache()
+    assert len({r[0] for r in remaining.select("matchweek_number").distinct().collect()}) == 8
+    sides = [x for h, a, i, j in played for x in ((h, i, j), (a, j, i))]
+    level = sum(x[1] for x in sides) / len(sides)
+    fixtures = sorted(map(tuple, remaining.collect()))
+    teams = sorted({x[0] for x in sides} | {t for f in fixtures for t in f[1:]})
+    own = {t: [x[1:] for x in sides if x[0] == t] for t in teams}
+    mean = lambda t, k: sum(x[k] for x in own[t]) / len(own[t])
+    attack = {t: mean(t, 0) / level if own[t] else 1.0 for t in teams}
+    defense = {t: level / (mean(t, 1) + 0.1) if own[t] else 1.0 for t in teams}
+    u = lambda side: season.uniform(F.lit(42), "sim", "matchweek_number", "home_team", "away_team", F.lit(side)).alias(side)
+    names = ["matchweek_number", "home_team", "away_team"]
+    drawn = remaining.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(*names, "sim", u("h"), u("a")).toArrow()
+    drawn = drawn.sort_by([(c, "ascending") for c in (*names, "sim")])
+    hu, au = (drawn.column(c).to_numpy().reshape(len(fixtures), n) for c in "ha")
+    at = {t: k for k, t in enumerate(teams)}
+    points, gd, games, scored = (np.zeros((n, len(teams))) for _ in range(4))
+
+    def add(h, a, i, j):
+        for t, x, y in ((at[h], i, j), (at[a], j, i)):
+            points[:, t] += np.where(x > y, 3, np.where(x == y, 1, 0))
+            gd[:, t] += x - y
+            scored[:, t] += x
+            games[:, t] += 1
+
+    def goals(mean, us):
+        steps = np.cumsum([math.exp(-mean) * mean**k / math.factorial(k) for k in range(30)])
+        return np.searchsorted(steps, us, "left")
+
+    for h, a, i, j in played:
+        add(h, a, np.int64(i), np.int64(j))
+    for k, (_, h, a) in enumerate(fixtures):
+        add(h, a, goals(attack[h] / defense[a] * level / 2 * 1.15, hu[k]), goals(attack[a] / defense[h] * level / 2, au[k]))
+    place = np.empty((n, len(teams)))
+    for s in range(n):
+        place[s, np.lexsort((np.arange(len(teams)), -gd[s], -points[s]))] = np.arange(1, len(teams) + 1)
+    got = {r["team"]: r for r in queries()["simulate_season"](spark, sf).collect()}
+    assert sorted(got) == teams
+    for t, k in at.items():
+        r = got[t]
+        assert r["mean_played"] == games[0, k]
+        for name, want in (("points", points), ("gd", gd), ("goals_scored", scored), ("position", place)):
+            assert abs(r[f"mean_{name}"] - want[:, k].mean()) < 0.0051
+        for name, want in (("title", place == 1), ("top3", place <= 3), ("bottom3", place > len(teams) - 3)):
+            assert abs(r[f"{name}_pct"] - 100 * want[:, k].mean()) < 0.051
+
+
 def test_poisson_draws_have_their_mean(spark):
     r = spark.range(20000).select(season.poisson(F.lit(1.3), season.uniform(F.lit(1), F.col("id"))).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
     assert abs(r[0] - 1.3) < 0.03 and abs(r[1] - 1.3) < 0.06
