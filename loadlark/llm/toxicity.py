@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as A
+from .common import durable
 
 BITS = 18
 
@@ -114,11 +115,25 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % 5 == 0
 
 
+def kept(positive: np.ndarray, unlabelled: np.ndarray, how: Fit) -> tuple[int, int]:
+    """How many positive and unlabelled texts of these word counts, first ones first, fit into ``max_words``.
+
+    Each side has its share of the words, in proportion to its bound of texts,
+    and what the other leaves; a side that has texts keeps one at least.
+    """
+    share = how.max_words * how.max_positive // (how.max_positive + how.max_unlabelled)
+    budgets = max(share, how.max_words - int(unlabelled.sum())), max(how.max_words - share, how.max_words - int(positive.sum()))
+    one = lambda n, most: min(len(n), max(1, int(np.searchsorted(np.cumsum(n), most, "right"))))
+    return one(positive, budgets[0]), one(unlabelled, budgets[1])
+
+
 def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[np.ndarray, float]:
     """A model from ``labels(doc_id, toxic)`` and the texts of ``docs(doc_id, text)``.
 
     At most ``max_positive`` positives and ``max_unlabelled`` texts are taken,
-    by a hash of their ids; only their ids are broadcast, at most 18,000.
+    by a hash of their ids, one row of an id; only their ids are broadcast, at
+    most 18,000. Where they have more than ``max_words`` words, each side keeps
+    the first of its texts (:func:`kept`), and only these come to the driver.
     """
     allowed = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = allowed.filter(F.col("toxic").isNotNull()).agg(
@@ -132,19 +147,25 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[np.ndarra
         .orderBy(by_hash, "doc_id").limit(how.max_unlabelled)
     )
     ids = pos.withColumn("_pos", F.lit(True)).unionByName(unl.withColumn("_pos", F.lit(False)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(by_hash.alias("_order"), "_pos", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(by_hash.alias("_order"), "_pos", F.xxhash64("text").alias("_of"), "text")
 
     def hashed(batches):
         for b in batches:
-            words = pa.array(list(features(b.column(2))), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), words], ["place", "pos", "words"])
-
-    rows = sample.mapInArrow(hashed, "place long, pos boolean, words array<int>").toArrow()
-    rows = rows.sort_by([("pos", "descending"), ("place", "ascending")])
+            words = pa.array(list(features(b.column(3))), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), words], ["place", "pos", "of", "words"])
+
+    each = sample.mapInArrow(hashed, "place long, pos boolean, of long, words array<int>")
+    one = durable(each.groupBy("pos", "place").agg(F.min(F.struct("of", "words"))["words"].alias("words")))
+    sizes = one.select("pos", "place", F.size("words").alias("n")).toArrow().sort_by("place")
+    is_pos, place, n = (sizes.column(c).to_numpy() for c in ("pos", "place", "n"))
+    is_pos = is_pos.astype(bool)
+    fits = F.lit(False)
+    for side, count in zip((True, False), kept(n[is_pos], n[~is_pos], how), strict=True):
+        if count:
+            fits |= (F.col("pos") == side) & (F.col("place") <= int(place[is_pos == side][count - 1]))
+    rows = one.filter(fits).toArrow().sort_by([("pos", "descending"), ("place", "ascending")])
     words = [np.asarray(x, np.int32) for x in rows.column("words").to_numpy()]
-    total = np.cumsum([len(x) for x in words]) if words else np.zeros(0)
-    n = int(np.searchsorted(total, how.max_words, "right"))
-    return train(words[:n], rows.column("pos").to_numpy()[:n].astype(bool), prior, how)
+    return train(words, rows.column("pos").to_numpy().astype(bool), prior, how)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:

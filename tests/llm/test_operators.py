@@ -9,6 +9,7 @@ from collections import Counter
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,24 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_toxicity_learns_from_long_positives(spark):
+    rng = random.Random(19)
+    rows = [(i, prose(rng, 400) + " you idiot scum" if i % 5 == 0 else prose(rng, 60)) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    how = toxicity.Fit(max_words=12_000)  # the positives have more
+    weights, bias = toxicity.fit(docs, labels, how)
+    assert np.any(weights)
+    word = lambda t: toxicity.scores(pa.array([t]), weights, bias)[0]
+    assert word("idiot scum") > word("")
+    again = toxicity.fit(docs.union(docs), labels, how)  # one row of an id counts
+    assert np.array_equal(weights, again[0]) and bias == again[1]
+    sizes = np.full(9, 10)
+    how = toxicity.Fit(max_positive=1, max_unlabelled=2, max_words=90)
+    assert toxicity.kept(sizes, sizes, how) == (3, 6) and toxicity.kept(sizes, sizes[:2], how) == (7, 2)
+    assert toxicity.kept(sizes[:0], sizes, how) == (0, 9) and toxicity.kept(sizes * 100, sizes * 100, how) == (1, 1)
+
+
 def test_tokens_equal_the_whole_tokenizer():
     rng = random.Random(1)
     odd = ["", " ", "a ", " a", "\n", "a\n", "\na", "a\n\nb", "a  b", "a\tb", "x \n y", "a<|endoftext|> b", "I'm don't", "é ü z***", "Σας ΟΔΟΣ", "12 345", prose(rng, 3000), " x y"]
