@@ -14,7 +14,7 @@ broadcasts them if they are small. Before the join only captures' distinct
 its intervals once a day, not once a capture.
 
 Defined cases: a null or unparsable URL or a null fetch time matches nothing
-(``decision`` ``keep``); a null host or date in an entry is ignored; several
+(``decision`` ``keep``); a null or empty host or a null date in an entry is ignored; several
 entries of one list, host and date count as one, and an add wins; repeated
 captures each get a row; other columns aren't read.
 """
@@ -27,27 +27,32 @@ from pyspark.sql import functions as F
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
-def host_of(url: Column) -> Column:
-    """The host in lower case, without a final dot or a leading www; null if there is none."""
-    host = F.lower(F.regexp_extract(url, HOST, 1))
-    host = F.regexp_replace(F.rtrim(host, F.lit(".")), r"^www\.", "")
+def normal(host: Column) -> Column:
+    """A host, of a capture or an entry, in lower case, without a final dot or a leading www; null if nothing is left."""
+    host = F.regexp_replace(F.rtrim(F.lower(host), F.lit(".")), r"^www\.", "")
     return F.when(host != "", host)
 
 
+def host_of(url: Column) -> Column:
+    """The normal host of a URL; null if there is none."""
+    return normal(F.regexp_extract(url, HOST, 1))
+
+
 def keys_of(host: Column) -> Column:
-    """``array<struct<key, labels>>``: the host and its parents down to two labels."""
+    """``array<struct<key, labels>>``: the host and its parents down to one label."""
     parts = F.split(host, r"\.")
     n = F.size(parts)
     return F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+        F.sequence(F.lit(1), n),
         lambda i: F.struct(F.array_join(F.slice(parts, i, n), ".").alias("key"), (n - i + 1).alias("labels")),
     )
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """``list, verdict, key, since, until`` (exclusive, null: still valid) of ``entries(list, verdict, host, day, added)``."""
-    at = entries.filter("host is not null and day is not null and list is not null").groupBy(
-        "list", "verdict", F.lower("host").alias("key"), F.to_date("day").alias("since")
+    keyed = entries.withColumn("_key", normal(F.col("host")))
+    at = keyed.filter("_key is not null and day is not null and list is not null").groupBy(
+        "list", "verdict", F.col("_key").alias("key"), F.to_date("day").alias("since")
     ).agg(F.max(F.coalesce("added", F.lit(True))).alias("added"))
     following = Window.partitionBy("list", "verdict", "key").orderBy("since")
     return at.withColumn("until", F.lead("since").over(following)).filter("added").drop("added")

@@ -374,6 +374,15 @@ def test_url_lists(spark):
     assert url_lists.decide(captures.limit(0), entries).count() == 0 and url_lists.decide(captures, entries.limit(0)).filter("decision = 'drop'").count() == 0
 
 
+def test_url_entries_are_normal_hosts_of_any_length(spark):
+    hosts = ["www.bad.com", "WORSE.org.", "zip", "", "."]
+    entries = spark.createDataFrame([("l", "block", h, date(2024, 1, 1), True) for h in hosts], "list string, verdict string, host string, day date, added boolean")
+    urls = ["http://www.bad.com/", "http://a.bad.com", "http://worse.org", "http://x.worse.org./p", "http://files.zip", "http://zip/", "http://a.zipper", "http://bad.com.x", "http://"]
+    captures = spark.createDataFrame([(i, u, date(2024, 2, 1)) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    got = {r["page_id"]: r["matched"] for r in url_lists.decide(captures, entries).collect()}
+    assert [got[i] for i in range(9)] == ["bad.com", "bad.com", "worse.org", "worse.org", "zip", "zip", None, None, None]
+
+
 def test_word_hashes_tell_words_apart():
     data, off = np.frombuffer(b"ab cab ab", np.uint8), np.array([0, 5, 9])
     s, e, first = A.word_bounds(data, off, A.NOT_SPACE)
