@@ -16,13 +16,15 @@ broadcast in blocks of at most ``block_chars``; a larger benchmark takes several
 passes instead of a larger broadcast.
 
 Defined cases: null and empty texts or items give no row; an item of fewer than
-``least`` reduced characters is never searched; the best region (least edits,
+``least`` reduced bytes is searched without edits, one of fewer than ``floor``
+never, and a warning counts these; an item is found whole or not at all; the best region (least edits,
 then first) is reported for each document and item; repeated rows are reported
 each; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
@@ -44,10 +46,11 @@ class Plan:
     error: float = 0.08
     least: int = 40
     block_chars: int = 16_000_000
+    floor: int = 2 * Q + 1
 
     def budget(self, length: int) -> int:
-        """Edits that an item of this length may have; the lemma's bound stays above zero."""
-        return min(int(self.error * length), (length - Q) // Q - 1)
+        """Edits that an item of this length may have, none under ``least``; the lemma's bound stays above zero."""
+        return 0 if length < self.least else min(int(self.error * length), (length - Q) // Q - 1)
 
 
 def reduced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,6 +63,12 @@ def reduced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return chars, np.searchsorted(at, offsets), at
 
 
+def letters(text: str) -> np.ndarray:
+    """The reduced bytes of one text."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return reduced(raw, np.array([0, len(raw)]))[0]
+
+
 def grams(data: np.ndarray) -> np.ndarray:
     """The 64-bit q-gram at each position that has one."""
     if len(data) < Q:
@@ -74,9 +83,8 @@ class Index:
         self.ids, self.text, self.edits = [], [], []
         keys, item, place = [], [], []
         for item_id, text in items:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            chars, _, _ = reduced(raw, np.array([0, len(raw)]))
-            if len(chars) < max(plan.least, 2 * Q + 1):
+            chars = letters(text)
+            if len(chars) < max(plan.floor, Q):
                 continue
             g = np.array(grams(chars))
             keys.append(g)
@@ -202,6 +210,8 @@ def _blocks(benchmark: DataFrame, plan: Plan):
     for block in range(n):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
         listed = sorted((r["item_id"], r["text"]) for r in own.toLocalIterator())
+        if short := sum(len(letters(x[1])) < max(plan.floor, Q) for x in listed):
+            logging.getLogger(__name__).warning("%d benchmark items under %d reduced bytes aren't searched", short, max(plan.floor, Q))
         yield spark.sparkContext.broadcast((listed, plan))
 
 
