@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,20 +16,58 @@ WORD = r"[^ \t-\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one set here where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own machine; a
+    cluster has no folder that could stand in, so that is an error.
+    """
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="loadlark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(place)
     return place
 
 
+class Workspace:
+    """Parquet tables of one job, in a folder of its own under the shared one.
+
+    A saved table cuts the lineage: a lost executor costs no recomputation of
+    what came before. Tables are dropped as soon as nothing reads them any more;
+    those that a returned DataFrame reads stay.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex}", 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        kept.saved_at = path
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for table in tables:
+            path = files.Path(table.saved_at)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` saved in a :class:`Workspace` of its own."""
+    return Workspace(df.sparkSession).save(df)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
