@@ -60,8 +60,9 @@ def windows_between(assessments: DataFrame, sessions: DataFrame, by: list[str],
     ).filter("start is not null")
     own = sessions.select(*by, F.col(date).alias("_t"), F.lit(0).alias("_k"), *loads)
     marks = assessments.select(*by, F.col(date).alias("_t"), F.lit(1).alias("_k"), *(F.lit(None).cast("double").alias(c) for c in loads))
-    ahead = Window.partitionBy(*by).orderBy("_t", "_k").rowsBetween(0, Window.unboundedFollowing)
-    placed = own.unionByName(marks).withColumn("end", F.first(F.when(F.col("_k") == 1, F.col("_t")), ignorenulls=True).over(ahead)).filter("_k = 0 and end is not null")
+    # from the last row down: a frame that grows is carried on, one that shrinks would be read anew for each row
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_t"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = own.unionByName(marks).withColumn("end", F.last(F.when(F.col("_k") == 1, F.col("_t")), ignorenulls=True).over(ahead)).filter("_k = 0 and end is not null")
     sums = placed.groupBy(*by, "end").agg(F.count("*").alias("sessions"), *(F.sum(c).alias(c) for c in loads))
     days = F.datediff("end", "start")
     joined = spans.join(sums, [*by, "end"], "left").na.fill(0, ["sessions", *loads])

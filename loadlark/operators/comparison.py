@@ -18,10 +18,9 @@ def match_reference(sessions: DataFrame, entity: list[str], metrics: list[str],
     Rates leave short appearances out.
     """
     official = sessions.filter((F.col("match_category") == "official_match") & F.col("has_gps"))
-    long = official.select(*entity, "season", key, "short_appearance", *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(
-        [*entity, "season", key, "short_appearance"], metrics, "metric", "v"
-    )
-    fit = long.filter(F.col("v").isNotNull() & ~(F.col("metric").isin(*RATE_METRICS) & F.col("short_appearance")))
+    usable = lambda m: F.when(~F.col("short_appearance"), F.col(m)) if m in RATE_METRICS else F.col(m)
+    values = F.array(*(F.struct(F.lit(m).alias("metric"), usable(m).cast("double").alias("v")) for m in metrics))
+    fit = official.select(*entity, "season", key, F.inline(values)).filter("v is not null")
     group = [*entity, "season", "metric"]
     best = Window.partitionBy(*group).orderBy(F.desc("v"), key)
     return (

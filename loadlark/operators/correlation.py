@@ -89,7 +89,7 @@ def benjamini_hochberg(grid: DataFrame, by: list[str], keys: list[str], p: str =
     up = Window.partitionBy(*by).orderBy(p, *keys)
     n = F.count(p).over(Window.partitionBy(*by))
     ranked = grid.withColumns({"_r": F.row_number().over(up), "_n": n})
-    later = up.rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in (p, *keys))).rowsBetween(Window.unboundedPreceding, 0)
     q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(later))
     return ranked.withColumn("q", half_even(q, 4)).withColumn("survives", F.col("q") < 0.05).drop("_r", "_n")
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.classes import CATEGORIES, acwr_zone
 from ..functions.dates import week_start
@@ -89,16 +93,21 @@ def _rated(weekly: DataFrame, w, chronic: Column, value: Column, history: int) -
 def ewma(daily: DataFrame, entity: list[str], spans: dict[str, int]) -> DataFrame:
     """Exponential means of the daily load, one column for each span; the first day starts them.
 
-    A recurrence: each entity's ordered days are folded once, in one row.
+    A recurrence, so an entity's days meet in one group, of dates and numbers
+    only; each group is one pass over arrays.
     """
-    lists = daily.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("date", "load"))).alias("d"))
-    for name, span in spans.items():
-        a = 2.0 / (span + 1)
-        fold = f"""aggregate(slice(d, 2, size(d)), array(d[0].load),
-            (acc, x) -> array_append(acc, element_at(acc, -1) * {1 - a!r}D + x.load * {a!r}D))"""
-        lists = lists.withColumn(name, F.expr(fold))
-    zipped = F.arrays_zip(F.col("d.date").alias("date"), F.col("d.load").alias("load"), *spans)
-    return lists.select(*entity, F.explode(zipped).alias("z")).select(*entity, "z.*")
+    rates = {name: 2.0 / (span + 1) for name, span in spans.items()}
+
+    def fold(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("date")
+        load = days["load"].to_numpy(float)
+        for name, a in rates.items():
+            days[name] = list(accumulate(load, lambda mean, x, a=a: mean * (1 - a) + x * a))
+        return days
+
+    kept = daily.select(*entity, "date", "load")
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(name, T.DoubleType()) for name in rates)])
+    return kept.groupBy(*entity).applyInPandas(fold, schema)
 
 
 def weekly_acwr_ewma(sessions: DataFrame, entity: list[str], value: str = "total_distance_m", history: int = 4) -> DataFrame:

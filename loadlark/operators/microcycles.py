@@ -22,11 +22,12 @@ def label_microcycles(sessions: DataFrame, entity: list[str]) -> DataFrame:
     """
     day = day_number(F.col("date"))
     w = Window.partitionBy(*entity, "season").orderBy("_day")
+    down = Window.partitionBy(*entity, "season").orderBy(F.desc("_day"))  # so that this frame grows too
     anchor = F.when(F.col("match_category") == "official_match", F.col("_day"))
     marked = sessions.withColumn("_day", day).withColumns(
         {
             "_prev": F.max(anchor).over(w.rangeBetween(Window.unboundedPreceding, 0)),
-            "_next": F.min(anchor).over(w.rangeBetween(1, Window.unboundedFollowing)),
+            "_next": F.min(anchor).over(down.rangeBetween(Window.unboundedPreceding, -1)),
             "_last": F.max("_day").over(Window.partitionBy(*entity, "season")),
         }
     )

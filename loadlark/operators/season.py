@@ -79,25 +79,27 @@ def expected_goals(fixtures: DataFrame, strength: DataFrame, goals_scale: float
     predictions do; 1 leaves it.
     """
     side = lambda p: strength.select(F.col("team").alias(f"{p}_team"), F.col("attack").alias(f"_{p}_a"), F.col("defense").alias(f"_{p}_d"))
-    mean = F.coalesce(F.first("mean_goals"), F.lit(1.0))
-    level = strength.agg(mean.alias("m")).first()["m"]
+    one = strength.agg(F.coalesce(F.first("mean_goals"), F.lit(1.0)).alias("_level"))  # one row, whatever the input
+    level = F.col("_level")
     known = lambda c: F.coalesce(F.col(c), F.lit(1.0))
     return (
-        fixtures.join(side("home"), "home_team", "left").join(side("away"), "away_team", "left")
+        fixtures.join(side("home"), "home_team", "left").join(side("away"), "away_team", "left").join(F.broadcast(one))
         .withColumns(
             {
                 "home_xg": known("_home_a") / known("_away_d") * (level * goals_scale) * HOME_ADVANTAGE,
                 "away_xg": known("_away_a") / known("_home_d") * (level * goals_scale),
             }
         )
-        .drop("_home_a", "_home_d", "_away_a", "_away_d")
+        .drop("_home_a", "_home_d", "_away_a", "_away_d", "_level")
     )
 
 
-def poisson_steps(mean: Column, most: int = 30) -> Column:
-    """The Poisson distribution function at 0 to ``most - 1``."""
+def poisson_steps(mean: Column) -> Column:
+    """The Poisson distribution function from 0 up, until what is left (under 1e-16) can't be drawn any more."""
+    # ten deviations above the mean, and 24 more for small means
+    last = (mean + F.sqrt(mean) * 10 + 24).cast("int")
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(most)),
+        F.sequence(F.lit(1), last),
         F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.expr("cast(array() as array<double>)").alias("all")),
         lambda s, i: F.struct(
             (s["p"] * mean / i).alias("p"), (s["c"] + s["p"] * mean / i).alias("c"), F.array_append(s["all"], s["c"]).alias("all")
@@ -106,14 +108,17 @@ def poisson_steps(mean: Column, most: int = 30) -> Column:
     )
 
 
-def quantile(steps: Column, u: Column) -> Column:
-    """How many ``steps`` are below ``u``."""
-    return F.size(F.filter(steps, lambda c: u > c))
+def quantile(steps: Column, u: Column, near: int = 12) -> Column:
+    """How many ``steps`` are below ``u``; the first ones, which nearly all draws stop at, are compared in compiled code."""
+    found = F.when(u <= steps[0], 0)
+    for k in range(1, near):
+        found = found.when(u <= steps[k], k)
+    return found.otherwise(F.size(F.filter(steps, lambda c: u > c)))
 
 
-def poisson(mean: Column, u: Column, most: int = 30) -> Column:
+def poisson(mean: Column, u: Column) -> Column:
     """The Poisson quantile at ``u``: counts how often the running distribution is below it."""
-    return quantile(poisson_steps(mean, most), u)
+    return quantile(poisson_steps(mean), u)
 
 
 def uniform(*parts: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,37 +27,28 @@ def prepare(raw: DataFrame) -> DataFrame:
     without any core measure there is no recording; a top speed of 0 is a dropout.
     """
     have = set(raw.columns)
-    typed = raw.withColumns(
-        {"date": F.to_date("date")} | {c: numeric(F.col(c)) if c in have else F.lit(None).cast("double") for c in NUMBERS}
-    )
+    number = {c: numeric(F.col(c)) if c in have else F.lit(None).cast("double") for c in NUMBERS}
+    others = [c for c in raw.columns if c not in {*NUMBERS, "date"}]
+    typed = raw.select(*others, F.to_date("date").alias("date"), *(x.alias(c) for c, x in number.items()))
     game = F.col("session_kind") == "game"
-    zero = nothing(F.col("duration_min")) & nothing(F.col("minutes_game_zerozero"))
-    for c in CORE:
-        zero = zero & nothing(F.col(c))
-    flagged = typed.withColumns(
-        {
-            "match_category": classes.match_category(F.col("session_kind"), F.col("competition_type")),
-            "season": dates.season(F.col("date")),
-            "unused_sub": holds(game & zero),
-        }
-    )
-    blanked = flagged.withColumns({c: F.when(~F.col("unused_sub"), F.col(c)) for c in ("duration_min", *MEASURED)})
-    seen = blanked.withColumn("has_gps", F.coalesce(*CORE).isNotNull() & ~F.col("unused_sub"))
-    kept = seen.withColumns({c: F.when(F.col("has_gps"), F.col(c)) for c in MEASURED}).withColumn(
-        "top_speed_kmh", F.when(F.col("top_speed_kmh") != 0, F.col("top_speed_kmh"))
-    )
-    played = F.when(
-        game, F.coalesce(positive(F.col("minutes_game_zerozero")), positive(F.col("duration_min")))
-    ).otherwise(positive(F.col("duration_min")))
+    zero = reduce(lambda a, b: a & b, (nothing(F.col(c)) for c in ("duration_min", "minutes_game_zerozero", *CORE)))
+    # one step for each level of columns that the next one reads more than once: what stands in a step is computed once
+    flagged = typed.select("*", holds(game & zero).alias("unused_sub"))
+    seen = flagged.select("*", (~F.col("unused_sub") & F.coalesce(*CORE).isNotNull()).alias("has_gps"))
+    cleared = {c: F.when(F.col("has_gps"), F.col(c)) for c in MEASURED} | {
+        "top_speed_kmh": F.when(F.col("has_gps") & (F.col("top_speed_kmh") != 0), F.col("top_speed_kmh")),
+        "duration_min": F.when(~F.col("unused_sub"), F.col("duration_min")),
+    }
+    kept = seen.select(*(c for c in seen.columns if c not in cleared), *(x.alias(c) for c, x in cleared.items()))
+    sheet = F.when(game, positive(F.col("minutes_game_zerozero")))
+    played = kept.select("*", F.coalesce(sheet, positive(F.col("duration_min"))).alias("minutes_played"))
     rest = F.col("high_speed_distance_m") - F.col("sprint_distance_m")
-    return kept.withColumn("minutes_played", played).withColumns(
-        {
-            "short_appearance": holds(game & F.col("has_gps") & (F.col("minutes_played") < classes.SHORT_MINUTES)),
-            "hsr_sprint_m": F.col("high_speed_distance_m"),
-            "hsr_m": F.when(rest.isNotNull(), F.greatest(rest, F.lit(0.0))),
-            "hia": F.col("accelerations") + F.col("decelerations") + F.col("sprints_total"),
-            "m_per_min": half_even(ratio(F.col("total_distance_m"), F.col("duration_min")), 1),
-        }
+    return played.select(
+        "*", classes.match_category(F.col("session_kind"), F.col("competition_type")).alias("match_category"), dates.season(F.col("date")).alias("season"),
+        holds(game & F.col("has_gps") & (F.col("minutes_played") < classes.SHORT_MINUTES)).alias("short_appearance"),
+        F.col("high_speed_distance_m").alias("hsr_sprint_m"), F.when(rest.isNotNull(), F.greatest(rest, F.lit(0.0))).alias("hsr_m"),
+        (F.col("accelerations") + F.col("decelerations") + F.col("sprints_total")).alias("hia"),
+        half_even(ratio(F.col("total_distance_m"), F.col("duration_min")), 1).alias("m_per_min"),
     )
 
 
