@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Density intercept and slope by sex and highest age of the band.
+# Density intercept and slope by sex and highest age of the band; the last band is open.
 DURNIN_WOMERSLEY = {
-    "M": ((19, 1.1620, 0.0630), (29, 1.1631, 0.0632), (39, 1.1422, 0.0544), (49, 1.1620, 0.0700), (999, 1.1715, 0.0779)),
-    "F": ((19, 1.1549, 0.0678), (29, 1.1599, 0.0717), (39, 1.1423, 0.0632), (49, 1.1333, 0.0612), (999, 1.1339, 0.0645)),
+    "M": ((19, 1.1620, 0.0630), (29, 1.1631, 0.0632), (39, 1.1422, 0.0544), (49, 1.1620, 0.0700), (None, 1.1715, 0.0779)),
+    "F": ((19, 1.1549, 0.0678), (29, 1.1599, 0.0717), (39, 1.1423, 0.0632), (49, 1.1333, 0.0612), (None, 1.1339, 0.0645)),
 }
 
 
@@ -28,7 +28,7 @@ def durnin_womersley(sex: Column, age: Column, *folds: Column) -> Column:
     density = None
     for s, bands in DURNIN_WOMERSLEY.items():
         for high, c, m in bands:
-            hit = (sex == s) & (age <= high)
+            hit = (sex == s) & (age.isNotNull() if high is None else age <= high)
             value = c - m * F.log10(total)
             density = F.when(hit, value) if density is None else density.when(hit, value)
     return F.when(reduce(lambda a, b: a & b, (f > 0 for f in folds)), siri(density))

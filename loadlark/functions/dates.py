@@ -12,7 +12,7 @@ PHASES = {
     7: "fora de época", 8: "pré-época", 9: "1ª volta", 10: "1ª volta", 11: "1ª volta", 12: "1ª volta",
     1: "2ª volta", 2: "2ª volta", 3: "2ª volta", 4: "2ª volta", 5: "2ª volta", 6: "final de época",
 }
-PHASE_ORDER = ("fora de época", "pré-época", "1ª volta", "2ª volta", "final de época")
+PHASE_ORDER = ("pré-época", "1ª volta", "2ª volta", "final de época", "fora de época")
 
 
 def week_start(d: Column) -> Column:

@@ -41,7 +41,7 @@ def changes(long: DataFrame, by: list[str], thresholds: DataFrame) -> DataFrame:
     delta = F.col("value") - F.col("_p")
     return (
         long.withColumns({"_p": previous, "_f": first, "days_since_previous": days})
-        .join(F.broadcast(thresholds), "metric", "left")
+        .join(thresholds, "metric", "left")
         .select(
             *by, "date", "metric", "value", "days_since_previous", half_even(delta, 2).alias("delta_previous"),
             half_even(F.when(F.col("_p") != 0, delta / F.col("_p") * 100), 1).alias("pct_previous"),
@@ -66,7 +66,7 @@ def evolution(long: DataFrame, by: list[str], dimension: DataFrame, baseline: st
         F.max("date").alias("latest_date"), F.max(F.when(base, F.col("date"))).alias("base_date"),
     )
     delta = F.col("latest") - F.col("base")
-    return pairs.join(F.broadcast(dimension), "metric", "left").select(
+    return pairs.join(dimension, "metric", "left").select(
         *by, "metric", "base_date", "latest_date", "base", "latest", half_even(delta, 2).alias("change"),
         half_even(F.when(F.col("base") != 0, delta / F.col("base") * 100), 1).alias("change_pct"),
         change_verdict(F.col("direction"), delta, F.col("threshold")).alias("verdict"),
@@ -88,13 +88,11 @@ def phase_means(long: DataFrame, by: list[str]) -> DataFrame:
 
 def season_levels(long: DataFrame, by: list[str]) -> DataFrame:
     """Statistics of each metric by season and by season and phase, in one pass of two grouping sets."""
-    long.createOrReplaceTempView("_loadlark_levels")
-    cols = ", ".join(by)
-    rows = long.sparkSession.sql(
-        f"""SELECT {cols}, season, phase, grouping(phase) AS whole, metric, count(*) AS n, min(date) AS first_date, max(date) AS last_date,
-          min_by(value, date) AS first, max_by(value, date) AS last, min(value) AS least, max(value) AS most,
-          avg(value) AS mean, stddev_pop(value) AS sd
-        FROM _loadlark_levels GROUP BY GROUPING SETS (({cols}, season, metric), ({cols}, season, phase, metric))"""
+    whole = [*by, "season", "metric"]
+    rows = long.groupingSets([[F.col(c) for c in whole], [F.col(c) for c in (*whole, "phase")]], *(F.col(c) for c in (*whole, "phase"))).agg(
+        F.grouping("phase").alias("whole"), F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.min_by("value", "date").alias("first"), F.max_by("value", "date").alias("last"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
     )
     return rows.select(
         *by, "season", F.when(F.col("whole") == 1, WHOLE_SEASON).otherwise(F.col("phase")).alias("phase"), "metric", "n", "first_date", "last_date",
@@ -106,14 +104,14 @@ def season_levels(long: DataFrame, by: list[str]) -> DataFrame:
 
 def implausible(long: DataFrame, ranges: DataFrame) -> DataFrame:
     """Values outside of ``ranges(metric, low, high)``."""
-    return long.join(F.broadcast(ranges), "metric").filter((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
+    return long.join(ranges, "metric").filter((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
 
 
 def quality_flags(long: DataFrame, by: list[str], ranges: DataFrame, jump: float = 0.3) -> DataFrame:
     """Values out of range, and jumps of more than ``jump`` where the value isn't flagged already."""
     w = Window.partitionBy(*by, "metric").orderBy("date")
     p = F.lag("value").over(w)
-    rows = long.withColumn("_p", p).join(F.broadcast(ranges), "metric", "left")
+    rows = long.withColumn("_p", p).join(ranges, "metric", "left")
     out = F.coalesce((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")), F.lit(False))
     jumped = F.coalesce((F.col("_p") != 0) & (F.abs(F.col("value") - F.col("_p")) / F.abs("_p") > jump), F.lit(False))
     return rows.filter(out | jumped).select(*by, "date", "metric", "value", F.when(out, "out of range").otherwise("jump").alias("flag"))

@@ -66,7 +66,7 @@ def against_baseline(per90: DataFrame, baseline: DataFrame, entity: list[str], m
         *(F.avg(f"{m}_per90").alias(m) for m in metrics), F.max("top_speed_kmh").alias("top_speed_kmh")
     )
     long = wide.unpivot(entity, [*metrics, "top_speed_kmh"], "metric", "value")
-    return long.join(F.broadcast(baseline), "metric").select(
+    return long.join(baseline, "metric").select(
         *entity, "metric", half_even(F.col("value"), 2).alias("value"), "baseline",
         half_even(F.col("value") - F.col("baseline"), 2).alias("difference"),
         half_even((F.col("value") - F.col("baseline")) / F.col("baseline") * 100, 1).alias("difference_pct"),
