@@ -30,7 +30,8 @@ SESSION_SCHEMA = T.StructType(
     ]
 )
 FIXTURE_SCHEMA = "`Result - abv` string, Date date, Hour string, Location string, Team1 string, Team2 string, Result string, Competition string, Matchweek string, `Played?` boolean"
-PLAYED_SCHEMA = "`Numeric Matchweek` int, Matchweek string, `Home Team` string, `Away Team` string, `Home Goals` int, `Away Goals` int, Winner string"
+REMAINING_SCHEMA = "matchweek_number int, home_team string, away_team string"
+PLAYED_SCHEMA = f"{REMAINING_SCHEMA}, home_goals int, away_goals int, winner string"
 MEASUREMENT_SCHEMA = "date date, metric string, unit string, value double, value_original double, corrected string, correction_note string, reference string, source_file string"
 
 
@@ -61,11 +62,50 @@ def sessions(spark: SparkSession, path: str) -> DataFrame:
     return csv(spark, path, SESSION_SCHEMA)
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of ``paths`` that are there, in any file system that the session knows."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return [p for p in paths if place(p).getFileSystem(conf).exists(place(p))]
+
+
 def team_fixtures(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Raw fixtures of many teams; the team's slug is the file's name without its ending."""
+    """Raw fixtures of many teams, typed; teams without a file are left out.
+
+    The team's slug is the file's name without its ending.
+    """
+    schema = T._parse_datatype_string(FIXTURE_SCHEMA)
+    there = existing(spark, paths)
+    if not there:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("team_slug", _S)]))
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(_fixtures)?\.csv$", 1)
-    text = spark.read.csv(paths, header=True)
-    return text.withColumn("team_slug", name)
+    text = spark.read.csv(there, header=True)
+    have = set(text.columns)
+    typed = [(F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast("string")).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    return text.select(*typed, name.alias("team_slug"))
+
+
+def processed_fixtures(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``(played, remaining)`` as :func:`~loadlark.sources.sinks.save_fixtures` writes them; what isn't there is empty."""
+
+    def one(name: str, schema: str) -> DataFrame:
+        path = f"{folder}/{name}"
+        return spark.read.schema(schema).parquet(path) if existing(spark, [path]) else spark.createDataFrame([], schema)
+
+    return one("fixtures_played", PLAYED_SCHEMA), one("fixtures_remaining", REMAINING_SCHEMA)
+
+
+def stale(spark: SparkSession, sources: list[str], output: str) -> bool:
+    """Whether ``output`` is missing or older than one of ``sources``; sources that aren't there don't count."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def changed(p: str) -> int:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        return path.getFileSystem(conf).getFileStatus(path).getModificationTime()
+
+    if not existing(spark, [output]):
+        return True
+    return any(changed(p) > changed(output) for p in existing(spark, sources))
 
 
 def own_view(fixtures: DataFrame) -> DataFrame:
@@ -157,11 +197,76 @@ def links(pages: DataFrame, key: str, column: str) -> DataFrame:
 def decode_fixture_rows(rows: DataFrame, columns: list[str], names: DataFrame) -> DataFrame:
     """Positional cells as named columns; ``names(site_name, team)`` maps opponents; an empty flag means played."""
     wide = rows.select("*", *(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns))).drop("cells")
-    mapped = wide.join(F.broadcast(names), F.col("Team2") == F.col("site_name"), "left")
+    mapped = wide.join(names, F.col("Team2") == F.col("site_name"), "left")
     played = F.when(F.col("Played?") == "", True).when(F.col("Played?") == "h2h", False)
     return mapped.withColumns({"Team2": F.coalesce("team", "Team2"), "Played?": played}).drop("site_name", "team")
 
 
+def fixture_pages(pages: DataFrame, names: DataFrame, columns: list[str], competition: str | None = None, div_id: str = "team_games") -> DataFrame:
+    """Fixtures of ``pages(team_slug, html)``: the second table of games, decoded; ``Team1`` is the page's team.
+
+    A page without a second table gives no rows.
+    """
+    rows = html_table(pages, "team_slug", "html", div_id, 1)
+    found = decode_fixture_rows(rows, columns, names).withColumn("Team1", F.col("team_slug"))
+    return found if competition is None else found.filter(F.col("Competition") == competition)
+
+
+_BLOCK = re.compile(r"""(?is)<div[^>]*\bclass=["']?section_620 game_report["'\s>]""")
+_COLUMN, _PLAYER = re.compile(r"""(?i)<div[^>]*\bclass=["']?column_300["'\s>]"""), re.compile(r"""(?i)<div[^>]*\bclass=["']?player["'\s>]""")
+_SPAN = re.compile(r"(?is)<span\b([^>]*)>(.*?)</span>\s*<div\b[^>]*>(.*?)</div>")
+#: What an event's title holds, and what the icon of a title-less one is.
+EVENTS = {"Assistência": "Assists", "Vermelhos": "Red Card", "Amarelos": "Yellow Card", "Golos": "Goals", "Entrou": "Substitution IN"}
+ICONS = {"7": "Substitution IN", "8": "Substitution OUT"}
+EVENT_COLUMNS = ("Goals", "Assists", "Red Card", "Yellow Card", "Substitution OUT", "Substitution IN")
+
+
+def _between(text: str, starts: re.Pattern) -> list[str]:
+    at = [m.start() for m in starts.finditer(text)]
+    return [text[a:z] for a, z in zip(at, [*at[1:], len(text)], strict=False)]
+
+
+def _inner(text: str, name: str) -> str | None:
+    found = re.search(rf"""(?is)<div[^>]*\bclass=["']?{name}["'\s>][^>]*?>?(.*?)</div>""", text)
+    return html.unescape(_TAG.sub("", found[1])).strip() if found else None
+
+
+def _events(text: str) -> list[str]:
+    found = {c: [] for c in EVENT_COLUMNS}
+    for marks, icon, minute in _SPAN.findall(text):
+        title = (re.search(r"""(?i)title=["']([^"']*)["']""", marks) or ["", ""])[1]
+        kind = next((k for mark, k in EVENTS.items() if mark in title), None) or ("grey" in marks and ICONS.get(_TAG.sub("", icon).strip())) or None
+        if kind:
+            found[kind].append(html.unescape(_TAG.sub("", minute)).strip())
+    return [", ".join(x) for x in found.values()]
+
+
+def match_reports(pages: DataFrame, key: str, column: str) -> DataFrame:
+    """``key, team, status, number, name`` and a column of minutes for each kind of event, of each player of a match page.
+
+    The first block of a page holds those who start, the second the substitutes;
+    each has a column for each team. A page with fewer blocks gives no rows.
+    """
+    names = [key, "team", "status", "number", "name", *EVENT_COLUMNS]
+
+    def players(page: str):
+        blocks = _between(page, _BLOCK)
+        teams: list[str | None] = [None, None]
+        for status, block in zip(("Starter", "Suplente"), blocks, strict=False) if len(blocks) > 1 else ():
+            for i, part in enumerate(_between(block, _COLUMN)[:2]):
+                teams[i] = _inner(part, "subtitle") or teams[i]
+                for one in _between(part, _PLAYER):
+                    yield teams[i], status, _inner(one, "number"), _inner(one, "name"), *_events(one)
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, *x) for k, page in zip(f[key], f[column], strict=True) for x in players(page or "")]
+            yield pd.DataFrame(rows, columns=names)
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, column).mapInPandas(parse, f"`{key}` {kind}, " + ", ".join(f"`{c}` string" for c in names[1:]))
+
+
 _DATE = re.compile(r"\b\d{2}-\d{2}-\d{4}\b")
 
 

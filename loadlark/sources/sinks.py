@@ -43,8 +43,15 @@ def save_wide(long: DataFrame, keys: list[str], path: str) -> None:
 
 
 def sync(new: DataFrame, old: DataFrame, path: str, write: bool = True) -> DataFrame:
-    """What a rebuilt log adds and removes; replaces the stored one if asked to. ``path`` must not be what ``new`` reads."""
+    """What a rebuilt log adds and removes; replaces the stored one if asked to.
+
+    ``old`` is the stored log, as a rule, so the changes are saved before it is
+    overwritten, at ``{path}_changes``; they are read from there. ``path`` must
+    not be what ``new`` reads.
+    """
     changes = diff(old, new, ["date", "session_kind", "session_type"])
-    if write:
-        save_sessions(new, path)
-    return changes
+    if not write:
+        return changes
+    changes.write.mode("overwrite").parquet(f"{path}_changes")
+    save_sessions(new, path)
+    return new.sparkSession.read.schema(changes.schema).parquet(f"{path}_changes")
