@@ -142,9 +142,11 @@ _PHASES = ", ".join(f"'{p}'" for p in PHASE_ORDER)
 
 
 @query(f"""SELECT player_id, phase, metric, n, phase_order, {_r('mean', 2)} AS mean, {_r('mean - lag(mean) OVER (PARTITION BY player_id, metric ORDER BY phase_order)', 2)} AS change FROM (
-  SELECT player_id, phase, metric, count(*) AS n, list_position([{_PHASES}], phase) - 1 AS phase_order, avg(value) AS mean FROM derived GROUP BY 1, 2, 3)""", _SHEETS, _GAP, _BODYSTAGE, _DERIVED)
+  SELECT player_id, phase, metric, count(*) AS n, list_position([{_PHASES}], phase) - 1 AS phase_order, avg(round_even(value * 100, 0)) AS mean FROM derived GROUP BY 1, 2, 3)""", _SHEETS, _GAP, _BODYSTAGE, _DERIVED)
 def phase_profile(spark, d):
-    return reports.phase_profile(_derived(spark, d), E, position(F.col("phase"), PHASE_ORDER))
+    # in hundredths: means of whole numbers don't depend on the order of the rows
+    hundredths = _derived(spark, d).withColumn("value", F.rint(F.col("value") * 100))
+    return reports.phase_profile(hundredths, E, position(F.col("phase"), PHASE_ORDER))
 
 
 @query("""SELECT player_id, date, "Peso" AS body_value, total_distance_m_mean AS performance_value FROM assessments JOIN looked USING (player_id, date) WHERE "Peso" IS NOT NULL AND total_distance_m_mean IS NOT NULL""", SES, BOD, _LOOK)
