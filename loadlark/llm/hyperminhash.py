@@ -53,6 +53,8 @@ from .common import Workspace, unused
 MANTISSA = 10
 #: Least and most bits of a set's sketch, as powers of two.
 SKETCH_BITS = (11, 20)
+#: Sets that are broadcast with their class, at most.
+HOT = 100_000
 
 
 @dataclass(frozen=True)
@@ -384,8 +386,8 @@ def _classes(docs: DataFrame, plan: Plan) -> DataFrame:
     sigs = work.save(signatures(docs, plan))
     own = sigs.filter("n > 0 and doc_id is not null")
     classes = work.save(
-        own.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "of", "n", "regs", "sketch")).alias("first"))
-        .select("k1", "k2", F.xxhash64("k1", "k2").alias("rep"), "first.*")
+        own.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "of", "n", "regs", "sketch")).alias("first"), F.count("*").alias("c"))
+        .select("k1", "k2", F.xxhash64("k1", "k2").alias("rep"), "c", "first.*")
     )
     size = 2 * plan.rows
     buckets = classes.select(
@@ -443,9 +445,16 @@ def _classes(docs: DataFrame, plan: Plan) -> DataFrame:
     in_component = classes.select("k1", "k2", "rep", "doc_id").join(labels.select(F.col("node").alias("rep"), "comp"), "rep")
     least = in_component.groupBy("comp").agg(F.min("doc_id").alias("least"))
     least = in_component.join(least, "comp").select("k1", "k2", "least")
-    ids = classes.select("k1", "k2", "doc_id").join(least, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("least", "doc_id").alias("comp"))
-    linked = own.select("doc_id", "of", "n", "k1", "k2").join(ids, ["k1", "k2"]).select("doc_id", "of", "n", "comp")
+    ids = work.save(
+        classes.select("k1", "k2", "doc_id", "c").join(least, ["k1", "k2"], "left").select("k1", "k2", "c", F.coalesce("least", "doc_id").alias("comp"))
+    )
+    # sets of very many rows would land in one task each; there are HOT of them at most, which are broadcast
+    hot = F.col("c") >= max(1_000, sigs.count() // HOT)
+    in_hot = own.select("doc_id", "of", "n", "k1", "k2").join(F.broadcast(ids.filter(hot).drop("c")), ["k1", "k2"], "left")
+    others = in_hot.filter("comp is null").drop("comp").join(ids.filter(~hot).drop("c"), ["k1", "k2"])
+    columns = ("doc_id", "of", "n", "comp")
+    linked = in_hot.filter("comp is not null").select(*columns).unionByName(others.select(*columns))
     alone = sigs.filter("n = 0 or doc_id is null").select("doc_id", "of", "n", F.col("doc_id").alias("comp"))
     done = work.save(linked.unionByName(alone))
-    work.drop(sigs, classes, links, more, labels)
+    work.drop(sigs, classes, links, more, labels, ids)
     return done
