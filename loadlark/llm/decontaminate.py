@@ -12,20 +12,19 @@ verified by banded alignment of the whole item against the text region.
 
 Texts are scanned in Arrow batches: eight bytes are one 64-bit q-gram, a bitmap
 drops those that no item has, and only the rest is looked up. The item index is
-broadcast in blocks of at most ``block_chars``; a larger benchmark takes several
-passes instead of a larger broadcast.
-
-Defined cases: null and empty texts or items give no row; an item of fewer than
-``least`` reduced bytes is searched without edits, one of fewer than ``floor``
-never, and a warning counts these; an item is found whole or not at all; the best region (least edits,
-then first) is reported for each document and item; repeated rows are reported
-each; other columns aren't read.
+broadcast in blocks of at most ``block_chars`` and made once a worker; a larger
+benchmark takes several passes instead of a larger broadcast.
+
+Defined cases: null and empty texts or items, and items without a letter or digit,
+give no row; an item of fewer than ``least`` reduced bytes is searched without
+edits, one of fewer than ``inside`` only between word ends of the text, so that a
+short answer isn't found inside of words; an item is found whole or not at all;
+the best region (least edits, then first) is reported for each document and item;
+repeated rows are reported each; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import logging
-from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,8 +44,8 @@ SCHEMA = "doc_id long, item_id long, start long, end long, edits int, n_shared i
 class Plan:
     error: float = 0.08
     least: int = 40
-    block_chars: int = 16_000_000
-    floor: int = 2 * Q + 1
+    block_chars: int = 8_000_000
+    inside: int = 2 * Q + 1
 
     def budget(self, length: int) -> int:
         """Edits that an item of this length may have, none under ``least``; the lemma's bound stays above zero."""
@@ -77,23 +76,26 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of the items: a bitmap for the first look, then their places."""
+    """The q-grams of the items: a bitmap for the first look, then their places. Shorter items stand in ``tiny``, by length."""
 
     def __init__(self, items: list[tuple[int, str]], plan: Plan):
-        self.ids, self.text, self.edits = [], [], []
+        self.ids, self.text, self.edits, self.tiny = [], [], [], {}
         keys, item, place = [], [], []
         for item_id, text in items:
             chars = letters(text)
-            if len(chars) < max(plan.floor, Q):
+            if not len(chars):
                 continue
-            g = np.array(grams(chars))
-            keys.append(g)
-            item.append(np.full(len(g), len(self.ids)))
-            place.append(np.arange(len(g)))
+            if len(chars) < Q:
+                self.tiny.setdefault(len(chars), []).append((int.from_bytes(chars.tobytes(), "little"), len(self.ids)))
+            else:
+                g = np.array(grams(chars))
+                keys.append(g)
+                item.append(np.full(len(g), len(self.ids), np.int32))
+                place.append(np.arange(len(g), dtype=np.int32))
             self.ids.append(item_id)
             self.text.append(chars)
             self.edits.append(plan.budget(len(chars)))
-        empty = [np.zeros(0, np.int64)]
+        empty = [np.zeros(0, np.int32)]
         keys, item, place = np.concatenate(keys or [np.zeros(0, A.U)]), np.concatenate(item or empty), np.concatenate(place or empty)
         order = np.argsort(keys, kind="stable")
         self.keys, self.first = np.unique(keys[order], return_index=True)
@@ -105,6 +107,22 @@ class Index:
         self.edit = np.array(self.edits, np.int64)
         self.length = np.array([len(x) for x in self.text], np.int64)
         self.bound = self.length + 1 - Q - Q * self.edit
+        self.between = self.length < plan.inside
+        self.tiny = {n: tuple(np.array(x) for x in zip(*sorted(own), strict=True)) for n, own in self.tiny.items()}
+
+    def whole(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text position and item number of all occurrences of the tiny items."""
+        wide = grams(np.concatenate([chars, np.zeros(Q, np.uint8)]))[: len(chars)]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for n, (keys, item) in self.tiny.items():
+            g = wide & A.U((1 << 8 * n) - 1)
+            lo, hi = np.searchsorted(keys.astype(A.U), g), np.searchsorted(keys.astype(A.U), g, "right")
+            at = np.flatnonzero(hi > lo)
+            for k in range(int((hi - lo).max(initial=0))):  # as often as one tiny text stands in the benchmark
+                more = at[lo[at] + k < hi[at]]
+                found.append((more, item[lo[more] + k]))
+        at, item = (np.concatenate(x) for x in zip(*found, strict=True))
+        return at, item
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g * A.U(0x9E3779B97F4A7C15)) >> self.shift
@@ -148,57 +166,100 @@ def aligned(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int
     return (int(cost[end]), int(begin[end]), end) if cost[end] <= budget else None
 
 
+class Held:
+    """A block of the benchmark; its index is made once in each worker."""
+
+    def __init__(self, items: list[tuple[int, str]], plan: Plan):
+        self.items, self.plan, self.made = items, plan, None
+
+    def __reduce__(self):
+        return Held, (self.items, self.plan)
+
+    def index(self) -> Index:
+        if self.made is None:
+            self.made = Index(self.items, self.plan)
+        return self.made
+
+
 def search(column: pa.Array, index: Index):
     """``row, item number, first byte, last byte (exclusive), edits, shared`` of each occurrence."""
     data, off = A.buffers(column)
-    if not len(index.keys):
+    if not index.ids:
         return
     for i, j in A.slices(off):
         chars, o, at = reduced(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        g = grams(chars)
-        if not len(g):
-            continue
-        pos, item, place = index.hits(g)
-        doc = np.searchsorted(o, pos, "right") - 1
-        inside = pos + Q <= o[doc + 1]
-        pos, item, place, doc = pos[inside], item[inside], place[inside], doc[inside]
-        if not len(pos):
-            continue
-        diagonal = pos - place - o[doc] + int(index.length.max())  # from 0 up
-        width = np.maximum(index.edit[item], 1)
         found: dict[tuple[int, int], tuple] = {}
-        band = diagonal // width
-        who = (doc * len(index.ids) + item).astype(A.U)
-        key = A.mix(who)
-        key = np.concatenate([A.mix(key + band.astype(A.U)), A.mix(key + np.maximum(band - 1, 0).astype(A.U))])
-        rows = np.sort(key)
-        cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        full = rows[cuts[np.diff(np.append(cuts, len(rows))) >= index.bound.min()]]
-        if not len(full):
-            continue
-        # a text may repeat a q-gram; the lemma counts each of the item's once
-        use = np.flatnonzero(np.isin(key, full))
-        hit, lower = use % len(band), use >= len(band)
-        triples = {(int(doc[h]), int(item[h]), max(int(band[h]) - int(x), 0), int(place[h])) for h, x in zip(hit, lower, strict=True)}
-        counts = Counter(x[:3] for x in triples)
-        ranked = sorted(counts.items(), key=lambda x: (x[0][:2], -x[1], x[0][2]))
-        for (d, it, at_band), n in ranked:
-            if n < index.bound[it]:
-                continue
+
+        def word_ends(a: int, b: int, d: int) -> bool:
+            return (a == o[d] or at[a - 1] + 1 < at[a]) and (b == o[d + 1] or at[b - 1] + 1 < at[b])
+
+        for d, it, low, high, n in _regions(chars, o, index):
             best = found.get((d, it))
-            if best and best[0] == 0:
+            if best and best[0] == 0 and best[1] <= low:
+                continue
+            if index.between[it]:
+                size = int(index.length[it])
+                text, p = chars[low:high].tobytes(), -1
+                while (p := text.find(index.text[it].tobytes(), p + 1)) >= 0:
+                    if word_ends(low + p, low + p + size, d):
+                        if best is None or low + p < best[1]:
+                            found[d, it] = (0, low + p, low + p + size, n)
+                        break
                 continue
-            w, length, e = max(int(index.edit[it]), 1), int(index.length[it]), int(index.edit[it])
-            low = at_band * w - int(index.length.max())
-            a = max(int(o[d]), int(o[d]) + low - e)
-            b = min(int(o[d + 1]), int(o[d]) + low + 2 * w + length + e)
-            hit = aligned(index.text[it], chars[a:b], e)
-            if hit and (best is None or (hit[0], a + hit[1]) < (best[0], best[1])):
-                found[d, it] = (hit[0], a + hit[1], a + hit[2], n)
+            hit = aligned(index.text[it], chars[low:high], int(index.edit[it]))
+            if hit and (best is None or (hit[0], low + hit[1]) < (best[0], best[1])):
+                found[d, it] = (hit[0], low + hit[1], low + hit[2], n)
         for (d, it), (edits, a, b, n) in sorted(found.items()):
             yield i + d, it, int(at[a] - (off[i + d] - off[i])), int(at[b - 1] - (off[i + d] - off[i])) + 1, edits, n
 
 
+def _regions(chars: np.ndarray, o: np.ndarray, index: Index):
+    """``row, item number, low, high, shared`` of each band that reaches an item's bound, most shared q-grams first."""
+    at, item = index.whole(chars) if index.tiny else (np.zeros(0, np.int64),) * 2
+    doc = np.searchsorted(o, at, "right") - 1
+    for d, it, p in sorted(zip(doc.tolist(), item.tolist(), at.tolist(), strict=True)):
+        if p + index.length[it] <= o[d + 1]:
+            yield d, it, p, p + int(index.length[it]), 1
+    g = grams(chars)
+    if not len(g) or not len(index.keys):
+        return
+    pos, item, place = index.hits(g)
+    doc = np.searchsorted(o, pos, "right") - 1
+    inside = pos + Q <= o[doc + 1]
+    pos, item, place, doc = pos[inside], item[inside].astype(np.int64), place[inside].astype(np.int64), doc[inside]
+    if not len(pos):
+        return
+    longest = int(index.length.max())
+    band = (pos - place - o[doc] + longest) // np.maximum(index.edit[item], 1)  # from 0 up
+    # each hit counts in its band and in the one before, which it overlaps
+    doc, item, place = (np.concatenate([x, x]) for x in (doc, item, place))
+    band = np.concatenate([band, np.maximum(band - 1, 0)])
+    # bands with too few hits, repeats included, go before the exact count
+    key = A.mix(A.mix((doc * len(index.ids) + item).astype(A.U)) + band.astype(A.U))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(first, len(key)))
+    use = order[np.repeat(n >= index.bound[item[order[first]]], n)]
+    doc, item, band, place = doc[use], item[use], band[use], place[use]
+    if not len(doc):
+        return
+    order = np.lexsort((place, band, item, doc))
+    rows = np.stack([doc[order], item[order], band[order], place[order]])
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+    rows = rows[:, new]  # a text may repeat a q-gram; the lemma counts each of the item's once
+    first = np.flatnonzero(np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(0)]))
+    n = np.diff(np.append(first, rows.shape[1]))
+    full = n >= index.bound[rows[1, first]]
+    doc, item, band, n = *rows[:3, first[full]], n[full]
+    for k in np.lexsort((band, -n, item, doc)).tolist():
+        d, it = int(doc[k]), int(item[k])
+        w, length, e = max(int(index.edit[it]), 1), int(index.length[it]), int(index.edit[it])
+        low = int(o[d]) + int(band[k]) * w - longest
+        yield d, it, max(int(o[d]), low - e), min(int(o[d + 1]), low + 2 * w + length + e), int(n[k])
+
+
 def _blocks(benchmark: DataFrame, plan: Plan):
     """Broadcasts of whole items, together all of the benchmark, each of ``block_chars`` bytes or about that."""
     spark = benchmark.sparkSession
@@ -210,9 +271,7 @@ def _blocks(benchmark: DataFrame, plan: Plan):
     for block in range(n):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
         listed = sorted((r["item_id"], r["text"]) for r in own.toLocalIterator())
-        if short := sum(len(letters(x[1])) < max(plan.floor, Q) for x in listed):
-            logging.getLogger(__name__).warning("%d benchmark items under %d reduced bytes aren't searched", short, max(plan.floor, Q))
-        yield spark.sparkContext.broadcast((listed, plan))
+        yield spark.sparkContext.broadcast(Held(listed, plan))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -221,7 +280,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> D
 
     def scan(shared):
         def found(batches):
-            index = Index(*shared.value)
+            index = shared.value.index()
             for b in batches:
                 out = []
                 for row, it, a, z, edits, n in search(b.column(1), index):
@@ -246,7 +305,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFra
 
     def scan(shared):
         def kept(batches):
-            index = Index(*shared.value)
+            index = shared.value.index()
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[[x[0] for x in search(b.column(at), index)]] = False

@@ -95,7 +95,7 @@ def test_registers_estimate_the_jaccard_index():
 
 def test_decontamination(spark):
     rng = random.Random(3)
-    items = [(i, prose(rng, 30)) for i in range(5)] + [(9, None), (10, "short")]
+    items = [(i, prose(rng, 30)) for i in range(5)] + [(9, None), (10, "unseen")]
     hidden = items[0][1].upper().replace(" ", "  ").replace("T", "t*", 1)
     edited = items[1][1].split()
     edited[4] = "zz"
@@ -112,18 +112,6 @@ def test_decontamination(spark):
     assert decontaminate.occurrences(d.limit(0), b).count() == 0 and decontaminate.occurrences(d, b.limit(0)).count() == 0
 
 
-def test_short_benchmark_items_are_searched_exactly(spark, caplog):
-    rng = random.Random(31)
-    b = spark.createDataFrame([(1, "Why is the sky so blue?"), (2, "short"), (3, "")], "item_id long, text string")
-    docs = [(1, prose(rng, 40) + " why is the SKY so blue " + prose(rng, 20)), (2, prose(rng, 40) + " why is the sea so blue " + prose(rng, 20)), (3, "a short one")]
-    d = spark.createDataFrame(docs, DOCS)
-    got = decontaminate.occurrences(d, b).collect()
-    assert [(r["doc_id"], r["item_id"], r["edits"]) for r in got] == [(1, 1, 0)]
-    assert docs[0][1][got[0]["start"] : got[0]["end"]] == "why is the SKY so blue"
-    assert [r["doc_id"] for r in decontaminate.clean(d, b).collect()] == [2, 3]
-    assert "2 benchmark items under 17" in caplog.text
-
-
 def test_banded_alignment_is_the_edit_distance():
     rng = random.Random(8)
     for _ in range(60):
