@@ -126,6 +126,31 @@ def corrected(long: DataFrame, corrections: DataFrame, by: list[str]) -> DataFra
     ).withColumn("value", F.coalesce("corrected_value", "value")).drop("corrected_value", "why")
 
 
+def recomputed(rows: DataFrame, ratios: DataFrame, by: list[str]) -> DataFrame:
+    """:func:`corrected` rows, with the ratios of assessments that hold a correction computed anew.
+
+    ``ratios(metric, numerator, denominator)``. A ratio that moves by less than
+    0.005, or has no denominator other than zero, stays as printed.
+    """
+    at = [*by, "date"]
+    touched = rows.filter("corrected = 'sim'").select(*at).distinct()
+    part = lambda role, name: rows.select(*at, F.col("metric").alias(role), F.col("value").alias(name))
+    fresh = half_even(F.when(F.col("_d") != 0, F.col("_n") / F.col("_d")), 2)
+    moved = (
+        rows.select(*at, "metric", "value").join(ratios, "metric").join(touched, at)
+        .join(part("numerator", "_n"), [*at, "numerator"]).join(part("denominator", "_d"), [*at, "denominator"])
+        .withColumn("_new", fresh).filter(F.abs(F.col("_new") - F.col("value")) >= 0.005)
+        .select(*at, "metric", "_new", F.concat(F.lit("recalculado de "), "numerator", F.lit("/"), "denominator", F.lit(" após correção")).alias("_why"))
+    )
+    new = F.col("_new").isNotNull()
+    return rows.join(moved, [*at, "metric"], "left").withColumns(
+        {
+            "value_original": F.when(new, F.col("value")).otherwise(F.col("value_original")), "corrected": F.when(new, "sim").otherwise(F.col("corrected")),
+            "correction_note": F.coalesce("_why", "correction_note"), "value": F.coalesce("_new", "value"),
+        }
+    ).drop("_new", "_why")
+
+
 def applied_corrections(long: DataFrame) -> DataFrame:
     return long.filter(F.lower(F.trim("corrected")) == "sim")
 

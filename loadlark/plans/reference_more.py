@@ -239,8 +239,27 @@ def quality_flags(spark, d):
   CASE WHEN fix THEN 'decimal point' END AS correction_note FROM (SELECT *, metric = 'Altura' AND value > 220 AS fix FROM long_body)""", BOD)
 def corrected_values(spark, d):
     rows = _long(spark, d)
-    fixes = rows.filter("metric = 'Altura' and value > 220").select("player_id", "date", "metric", (F.col("value") / 10).alias("corrected_value"), F.lit("decimal point").alias("why"))
-    return body.corrected(rows, fixes, E)
+    return body.corrected(rows, _fixes(rows), E)
+
+
+def _fixes(rows):
+    return rows.filter("metric = 'Altura' and value > 220").select("player_id", "date", "metric", (F.col("value") / 10).alias("corrected_value"), F.lit("decimal point").alias("why"))
+
+
+@query(f"""SELECT player_id, date, metric, CASE WHEN fix THEN value / 10 ELSE value END AS value, CASE WHEN fix THEN value END AS value_original, CASE WHEN fix THEN 'sim' ELSE '' END AS corrected,
+  CASE WHEN fix THEN 'decimal point' END AS correction_note FROM (SELECT *, metric = 'Altura' AND value > 220 AS fix FROM long_body)
+  UNION ALL SELECT player_id, date, 'Cintura/Altura', CASE WHEN fix THEN {_r('waist / (height / 10)', 2)} ELSE {_r('waist / height', 2)} END, CASE WHEN fix THEN {_r('waist / height', 2)} END,
+  CASE WHEN fix THEN 'sim' ELSE '' END, CASE WHEN fix THEN 'recalculado de Perímetro Cintura/Altura após correção' END
+  FROM (SELECT w.player_id, w.date, w.value AS waist, h.value AS height, h.value > 220 AS fix FROM long_body w JOIN long_body h ON w.player_id = h.player_id AND w.date = h.date
+    WHERE w.metric = 'Perímetro Cintura' AND h.metric = 'Altura')""", BOD)
+def recomputed_ratios(spark, d):
+    rows = _long(spark, d)
+    pick = lambda metric, name: rows.filter(F.col("metric") == metric).select("player_id", "date", F.col("value").alias(name))
+    printed = pick("Perímetro Cintura", "waist").join(pick("Altura", "height"), ["player_id", "date"]).select(
+        "player_id", "date", F.lit("Cintura/Altura").alias("metric"), half_even(F.col("waist") / F.col("height"), 2).alias("value")
+    )
+    ratios = spark.createDataFrame([("Cintura/Altura", "Perímetro Cintura", "Altura")], "metric string, numerator string, denominator string")
+    return body.recomputed(body.corrected(rows.unionByName(printed), _fixes(rows), E), ratios, E)
 
 
 _X = ("Peso", "Altura", "Perímetro Cintura")

@@ -7,11 +7,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.dates import season
 from ..functions.numbers import numeric, sum_known
 from ..functions.text import yes
 from ..operators.sessions import MEASURED
@@ -145,6 +146,73 @@ def body_measurements(spark: SparkSession, path: str) -> DataFrame:
     return csv(spark, path, MEASUREMENT_SCHEMA)
 
 
+#: Columns of assessment files that hold text; every other one but dates is a number.
+_WORDS = {"season", "group", "metric", "unit", "note", "reference", "source_file", "corrected", "correction_note", "meaningful_change", "verdict"}
+
+
+def assessment_table(spark: SparkSession, path: str, least: str = "date date, season string") -> DataFrame:
+    """One of the assessment files (measurements, wide, derived, changes, season summaries), whatever metrics it has.
+
+    The file's season is kept as ``season_reported``; ``season`` follows from the
+    date, and rows without a date (summaries) have none. A path that isn't there
+    gives no rows, with the columns of ``least``.
+    """
+    if existing(spark, [path]):
+        text = spark.read.csv(path, header=True, encoding="UTF-8")
+        kind = lambda c: "date" if c == "date" or c.endswith("_date") else "string" if c in _WORDS else "double"
+        as_is = {"date": lambda c: c.try_cast("date"), "string": lambda c: c, "double": numeric}
+        rows = text.select(*(as_is[kind(c)](F.col(f"`{c}`")).alias(c) for c in text.columns))
+    else:
+        rows = spark.createDataFrame([], least)
+    rows = rows.withColumnRenamed("season", "season_reported")
+    return rows.withColumn("season", season(F.col("date"))) if "date" in rows.columns else rows
+
+
+def report_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path`` of each PDF below folders, matching patterns or named outright; each once. Contents aren't read."""
+    exact = [p for p in paths if re.search(r"[*?\[]", p)] + existing(spark, [p for p in paths if not re.search(r"[*?\[]", p)])
+    if not exact:
+        return spark.createDataFrame([], "path string")
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(exact)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "path string")
+    return found.select("path").distinct()
+
+
+def report_facts(pages: DataFrame, key: str, page: str, column: str) -> DataFrame:
+    """``key, table_text, age, sex`` of reports given as the text of their pages: of each fact the first page that has it."""
+    text, upper = F.col(column), F.upper(column)
+    age = F.regexp_extract(text, r"(\d{1,3})\s*Anos", 1).try_cast("int")
+    sex = F.when(text.contains("Masculino"), "M").when(text.contains("Feminino"), "F")
+    table = F.when(upper.contains("PREGAS") & upper.rlike("ANTROPOM|ATROPOM"), text)
+    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col(page)))
+    return pages.groupBy(key).agg(first(table).alias("table_text"), first(age).alias("age"), first(sex).alias("sex"))
+
+
+SEASON_SCHEMA = "key string, label string, competition_name string, primary_team string, teams map<string,string>, team_name_mapping map<string,string>"
+
+
+def seasons(spark: SparkSession, path: str) -> DataFrame:
+    """The registry of seasons, a JSON list; ``teams`` gives each team's page, ``team_name_mapping`` the team of each printed name."""
+    return spark.read.schema(SEASON_SCHEMA).json(path, multiLine=True)
+
+
+def one_season(registry: DataFrame, key: str) -> Row:
+    found = registry.filter(F.col("key") == key).head()
+    if found is None:
+        raise KeyError(f"no season {key!r}; there are {', '.join(r['key'] for r in registry.select('key').orderBy('key').collect())}")
+    return found
+
+
+def with_season_key(rows: DataFrame, registry: DataFrame, label: str = "season") -> DataFrame:
+    """``rows`` with the ``season_key`` of the registry whose years are those of a label such as ``2025/26``; else null."""
+    keys = registry.select(F.regexp_replace(F.regexp_extract("key", r"(\d{4}_\d{2})$", 1), "_", "/").alias(label), F.col("key").alias("season_key"))
+    return rows.join(keys.groupBy(label).agg(F.min("season_key").alias("season_key")), label, "left")
+
+
 def corrections(spark: SparkSession, path: str) -> DataFrame:
     """``date, metric, corrected_value, why`` of a JSON list."""
     schema = "date date, metric string, value double, why string"
@@ -267,6 +335,46 @@ def match_reports(pages: DataFrame, key: str, column: str) -> DataFrame:
     return pages.select(key, column).mapInPandas(parse, f"`{key}` {kind}, " + ", ".join(f"`{c}` string" for c in names[1:]))
 
 
+_STAFF, _NAME = re.compile(r"""(?i)<div[^>]*\bclass=["']?staff["'\s>]"""), re.compile(r"""(?i)<div[^>]*\bclass=["']?name["'\s>]""")
+_LINK = re.compile(r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["'][^>]*>(.*?)</a>""")
+_PHOTO = re.compile(r"""(?is)<div[^>]*\bclass=["']?photo["'\s>][^>]*\burl\(["']?([^"')]*)""")
+
+
+def squads(pages: DataFrame, key: str, column: str, site: str) -> DataFrame:
+    """``key, number, name, profile_url, photo_url`` of each person on a squad page; those without a link are left out."""
+
+    def people(page: str):
+        for one in _between(page, _STAFF):
+            name = _NAME.search(one)
+            link = _LINK.search(one, name.start()) if name else None
+            if link:
+                photo = _PHOTO.search(one)
+                words = html.unescape(_TAG.sub("", link[2])).strip()
+                yield _inner(one, "number"), words or _inner(one, "name"), site + link[1] if link[1].startswith("/") else link[1], photo[1] if photo else None
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, *x) for k, page in zip(f[key], f[column], strict=True) for x in people(page or "")]
+            yield pd.DataFrame(rows, columns=[key, "number", "name", "profile_url", "photo_url"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, column).mapInPandas(parse, f"`{key}` {kind}, number string, name string, profile_url string, photo_url string")
+
+
+def player_stats(pages: DataFrame, key: str, column: str, div_id: str = "team_games") -> DataFrame:
+    """``key, row, name, value``: the cells of a player's table of competitions under the names that its first row gives.
+
+    A nameless first column is the ``Competition``, and empty in the row of the
+    ``Total``; other nameless ones are called by their place. ``key`` is unique.
+    """
+    rows = html_table(pages, key, column, div_id)
+    names = F.first("cells").over(Window.partitionBy(key).orderBy("row"))
+    cells = rows.withColumn("names", names).filter("row > 0").select(key, "row", "cells", F.posexplode("names").alias("at", "head"))
+    value, lead = F.get("cells", F.col("at")), (F.col("at") == 0) & (F.col("head") == "")
+    name = F.when(lead, "Competition").when(F.col("head") == "", F.concat(F.lit("col_"), F.col("at").cast("string"))).otherwise(F.col("head"))
+    return cells.select(key, "row", name.alias("name"), F.when(lead & (value == ""), "Total").otherwise(value).alias("value"))
+
+
 _DATE = re.compile(r"\b\d{2}-\d{2}-\d{4}\b")
 
 

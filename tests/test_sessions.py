@@ -90,3 +90,20 @@ def test_empty_input_keeps_the_schema(spark):
               lambda x: comparison.match_reference(x, ["player_id"], ["hia"]), lambda x: summaries.season_summary(x, ["player_id"])):
         out = f(empty)
         assert out.count() == 0 and out.columns
+
+
+def test_parse_label_variants(spark):
+    from loadlark.functions.text import parse_label
+
+    cases = {
+        "Jornada 3 - ADS B (CASA) 2-1": ("ADS B", "home", 2, 1, "2-1", "W", "3"),
+        "jornada 12 AP. CAMPEÃO -Sub23 Rui (Fora) 2 – 1": ("Sub23 Rui", "away", 1, 2, "2-1", "L", "12 AP. CAMPEÃO"),
+        "Jogo Treino Sub19 Arouca (CASA) ?-?": ("Sub19 Arouca", "home", None, None, "?-?", None, None),
+        "Jogo TAÇA-Os X( fora )03-3 ": ("Os X", "away", 3, 3, "3-3", "D", None),
+        "Jogo Y (casa)": ("Y", "home", None, None, None, None, None),
+        "Z (fora) adiado 2-?": ("Z", "away", None, None, "2-?", None, None),
+        "(casa) 1-0": (None, "home", 1, 0, "1-0", "W", None),
+        "Treino 2-1": (None,) * 7, "": (None,) * 7, None: (None,) * 7,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "label string").select("label", parse_label(F.col("label")).alias("p")).select("label", "p.*")
+    assert {r[0]: tuple(r)[1:] for r in rows.collect()} == cases

@@ -86,3 +86,55 @@ def test_log_as_csv(spark, tmp_path):
     full = rows.select(*(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in readers.SESSION_SCHEMA.fields))
     sinks.save_sessions(full, f"{tmp_path}/csv", "csv")
     assert sorted(map(tuple, readers.sessions(spark, f"{tmp_path}/csv").collect())) == sorted(map(tuple, full.collect()))
+
+
+def test_assessment_table(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text("date,season,Peso (kg),Massa Gorda (%)\n2024-07-10,2023/24,70.5,\n2024-06-30,2023/24,71,12.5\n")
+    got = {r["date"]: r.asDict() for r in readers.assessment_table(spark, f"{tmp_path}/wide.csv").collect()}
+    assert [(r["season_reported"], r["season"], r["Peso (kg)"], r["Massa Gorda (%)"]) for _, r in sorted(got.items())] == [
+        ("2023/24", "2023/24", 71.0, 12.5), ("2023/24", "2024/25", 70.5, None),
+    ]
+    (tmp_path / "summary.csv").write_text("season,metric,unit,n_sessions,first_date\n2023/24,Peso,kg,4,2023-09-01\n")
+    row = readers.assessment_table(spark, f"{tmp_path}/summary.csv").first()
+    assert (row["season_reported"], row["n_sessions"], row["first_date"]) == ("2023/24", 4.0, date(2023, 9, 1)) and "season" not in row
+    none = readers.assessment_table(spark, f"{tmp_path}/nowhere.csv")
+    assert none.count() == 0 and none.columns == ["date", "season_reported", "season"]
+
+
+def test_report_files_and_facts(spark, tmp_path):
+    os.makedirs(tmp_path / "in" / "deep")
+    for name in ("a.pdf", "deep/b.PDF", "c.txt"):
+        (tmp_path / "in" / name).write_text("x")
+    got = readers.report_files(spark, [f"{tmp_path}/in", f"{tmp_path}/in/a.pdf", f"{tmp_path}/nowhere"])
+    assert sorted(os.path.basename(r["path"]) for r in got.collect()) == ["a.pdf", "b.PDF"]
+    assert readers.report_files(spark, [f"{tmp_path}/nowhere", f"{tmp_path}/no*"]).count() == 0
+    pages = [("r", 2, "Pregas, Avaliação Antropométrica 2"), ("r", 1, "pregas antropometria 1"), ("r", 3, "30 Anos Feminino"), ("r", 4, "31 Anos Masculino"), ("s", 1, None)]
+    facts = readers.report_facts(spark.createDataFrame(pages, "report string, page int, text string"), "report", "page", "text")
+    assert sorted(tuple(r) for r in facts.collect()) == [("r", "pregas antropometria 1", 30, "F"), ("s", None, None, None)]
+
+
+def test_seasons(spark, tmp_path):
+    (tmp_path / "s.json").write_text('[{"key": "reds_2025_26", "label": "Reds", "primary_team": "reds", "teams": {"reds": "u"}}, {"key": "blues_2024_25", "label": "Blues"}]')
+    registry = readers.seasons(spark, f"{tmp_path}/s.json")
+    assert readers.one_season(registry, "reds_2025_26")["teams"] == {"reds": "u"}
+    try:
+        readers.one_season(registry, "x")
+        raise AssertionError
+    except KeyError as e:
+        assert "blues_2024_25, reds_2025_26" in str(e)
+    rows = spark.createDataFrame([("2025/26",), ("2023/24",), (None,)], "season string")
+    assert {r["season"]: r["season_key"] for r in readers.with_season_key(rows, registry).collect()} == {"2025/26": "reds_2025_26", "2023/24": None, None: None}
+
+
+def test_squads_and_player_stats(spark):
+    person = lambda n, name, href: f"<div class='staff'><div class='number'>{n}</div><div class='photo' style=\"background:url('/p{n}.png')\"></div><div class='name'><div class='micrologo_and_text'><div class='text'>{href and f'<a href={chr(34)}{href}{chr(34)}>'}{name}</a></div></div></div></div>"
+    page = person(9, "Ann &amp; A", "/jogador/ann/1") + person(10, "Nobody", "") + person(11, "Cat", "https://x/c")
+    pages = spark.createDataFrame([("t", page), ("none", None)], "team string, html string")
+    assert sorted(tuple(r) for r in readers.squads(pages, "team", "html", "https://site").collect()) == [
+        ("t", "11", "Cat", "https://x/c", "/p11.png"), ("t", "9", "Ann & A", "https://site/jogador/ann/1", "/p9.png"),
+    ]
+    row = lambda tag, *x: "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in x) + "</tr>"
+    stats = "<div id='team_games'><table class='zztable'>" + row("th", "", "J", "") + row("td", "Liga", "3", "a") + row("td", "", "4") + "</table></div>"
+    got = readers.player_stats(spark.createDataFrame([("p", stats), ("q", "")], "player string, html string"), "player", "html")
+    assert sorted(tuple(r) for r in got.collect() if r["row"] == 1) == [("p", 1, "Competition", "Liga"), ("p", 1, "J", "3"), ("p", 1, "col_2", "a")]
+    assert sorted((r["name"], r["value"]) for r in got.collect() if r["row"] == 2) == [("Competition", "Total"), ("J", "4"), ("col_2", None)]
