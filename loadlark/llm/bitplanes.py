@@ -144,8 +144,9 @@ class Reader:
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> DataFrame:
     """Writes the files and returns their list: ``path, first_id, n_docs, n_tokens``; runs once, at once."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    ordered = ordered.withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")))).sortWithinPartitions("doc_id", "_crc").drop("_crc")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"))
+    # ranges of both columns: the rows of one id, or of none, may fill several files
+    ordered = ordered.repartitionByRange("doc_id", "_crc").sortWithinPartitions("doc_id", "_crc").drop("_crc")
 
     def written(batches):
         tail = np.array([end_id], "<u4").tobytes()
@@ -173,7 +174,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> DataFrame
 
 def read(files: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files of ``write``."""
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("path", "start")
 
     def documents(batches):

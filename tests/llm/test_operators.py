@@ -319,6 +319,25 @@ def test_token_files(spark, texts, tmp_path):
     assert bitplanes.round_trip(docs.limit(0), path).count() == 0
 
 
+def test_token_files_of_a_hot_id(spark):
+    """The rows without an id fill several files, in the order of their checksums."""
+    path, rows = tokens.default_path("word_bpe_49k.json"), [(None, f"w{i % 150} x") for i in range(300)] + [(i, f"doc {i}") for i in range(100)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = f"{bitplanes.shared_dir(spark)}/hot"
+        files = bitplanes.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, folder)
+        got = sorted(bitplanes.read(files, folder).collect(), key=lambda r: r["start"])
+        assert sum(r["first_id"] is None for r in files.collect()) > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, zlib.crc32(x[1].encode())))
+    enc, at = tokens.Encoder(path), 0
+    for (i, t), r in zip(want, got, strict=True):
+        raw = enc.whole(t) + np.array([1], "<u4").tobytes()
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(raw) // 4, zlib.crc32(raw))
+        at += len(raw) // 4
+
+
 def test_plane_file_of_many_chunks(tmp_path):
     rng, name = np.random.default_rng(2), str(tmp_path / "f.idp")
     docs = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (0, 5, 200_000, 1, 65_536)]
