@@ -191,7 +191,8 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return placed.repartition("path").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task a file: a list of paths is so short that adaptive execution would merge all of them if no number were given
+    return placed.repartition(max(1, files.count())).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
