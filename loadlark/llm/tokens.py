@@ -49,8 +49,12 @@ class Encoder:
         self.spaced = self.whole(" a") != self.whole("a")
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
-        # a vocabulary of another kind has all its words encoded by the whole tokenizer
-        self.direct = all(self._letters(w, True) == self.whole(" " + w) and self._letters(w, False) == self.whole(w) for w in ("the", "Übermaß", "STRAßE", "ñandú"))
+        # Latin letters whose words the merges alone get right: none in a vocabulary of another
+        # kind, and not those whose lower case is more than a letter
+        self.letters = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and self._direct("a" + c + "e") and self._direct(c))
+
+    def _direct(self, word: str) -> bool:
+        return self._letters(word, True) == self.whole(" " + word) and self._letters(word, False) == self.whole(word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,7 +82,7 @@ class Encoder:
             new_line = w[:1] == "\n"
             core = w[1:] if new_line else w
             stem = core.rstrip(_MARKS)
-            if self.direct and stem.isalpha() and max(stem) < "\u0250":
+            if stem and self.letters.issuperset(stem):
                 ids = self._letters(stem, not new_line)
                 if new_line:
                     ids = self._mark("\n") + ids

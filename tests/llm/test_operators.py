@@ -242,6 +242,10 @@ def test_tokens_equal_the_whole_tokenizer():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         enc = tokens.Encoder(tokens.default_path(name))
         assert list(enc.encode(odd)) == [enc.whole(t) for t in odd]
+        assert {*"azAZéßÜø"} <= enc.letters
+        for c in map(chr, range(33, 0x250)):
+            odd_words = [f"x a{c}b y", f"x {c} y", f"{c} y", f"x\n{c}Q.", f"x {c * 3}!", f"a b{c}", f"a {c}'s it"]
+            assert list(enc.encode(odd_words)) == [enc.whole(t) for t in odd_words], c
 
 
 def test_packing(spark, texts):
