@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, decontaminate, hyperminhash, jump_shards, packing, pii, quality_llr, secrets_markov, tokens, toxicity, url_lists
+from . import bitplanes, decontaminate, fim_rope, hyperminhash, jump_shards, packing, pii, quality_llr, resync, secrets_markov, tokens, toxicity, url_lists, word_ids
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,23 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_ids.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = resync.counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokens.default_path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim_rope.restore(fim_rope.transform(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_list_filter": op1_url_list_filter,
@@ -76,8 +93,16 @@ def queries() -> dict[str, Query]:
         "op8_jump_hash_sharding": op8_jump_hash_sharding,
         "op9_bit_plane_token_files": op9_bit_plane_token_files,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_token_counts": op12_token_counts,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_list_filter": url_lists.ORACLE, "op8_jump_hash_sharding": jump_shards.ORACLE}
+    return {
+        "op1_url_list_filter": url_lists.ORACLE,
+        "op8_jump_hash_sharding": jump_shards.ORACLE,
+        "op11_importance_resampling": word_ids.ORACLE,
+        "op13_fill_in_middle": fim_rope.ORACLE,
+    }
