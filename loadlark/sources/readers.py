@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import html
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.dates import season
-from ..functions.numbers import numeric, sum_known
-from ..functions.text import yes
-from ..operators.sessions import MEASURED
+from ..functions.numbers import numeric
 
 _D, _S = T.DoubleType(), T.StringType()
 SESSION_SCHEMA = T.StructType(
@@ -122,26 +117,6 @@ def own_view(fixtures: DataFrame) -> DataFrame:
     )
 
 
-def workbook(spark: SparkSession, games: pd.DataFrame, training: pd.DataFrame) -> DataFrame:
-    """The two sheets of a session workbook as one log; rows whose date can't be read are dropped.
-
-    A workbook is a small file that only one process can open: pass the sheets as
-    ``pandas.read_excel`` gives them, with the log's column names.
-    """
-
-    def sheet(frame: pd.DataFrame, kind: str) -> DataFrame:
-        rows = spark.createDataFrame(frame.astype(object).where(frame.notna(), None).astype(str).replace("None", None))
-        return rows.withColumns({"session_kind": F.lit(kind), "date": F.substring("date", 1, 10).try_cast("date")}).filter("date is not null")
-
-    both = sheet(games, "game").unionByName(sheet(training, "training"), allowMissingColumns=True)
-    for c in MEASURED:
-        if c in both.columns:
-            both = both.withColumn(c, numeric(F.col(c)))
-    if {"sprints_1st_half", "sprints_2nd_half"} <= set(both.columns):
-        both = both.withColumn("sprints_total", sum_known(F.col("sprints_1st_half"), F.col("sprints_2nd_half")))
-    return both.withColumn("was_starter", yes(F.col("was_starter"))) if "was_starter" in both.columns else both
-
-
 def body_measurements(spark: SparkSession, path: str) -> DataFrame:
     return csv(spark, path, MEASUREMENT_SCHEMA)
 
@@ -168,18 +143,24 @@ def assessment_table(spark: SparkSession, path: str, least: str = "date date, se
     return rows.withColumn("season", season(F.col("date"))) if "date" in rows.columns else rows
 
 
-def report_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path`` of each PDF below folders, matching patterns or named outright; each once. Contents aren't read."""
+def report_binaries(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, content`` of each PDF below folders, matching patterns or named outright; each once."""
     exact = [p for p in paths if re.search(r"[*?\[]", p)] + existing(spark, [p for p in paths if not re.search(r"[*?\[]", p)])
+    none = spark.createDataFrame([], "path string, content binary")
     if not exact:
-        return spark.createDataFrame([], "path string")
+        return none
     try:
         found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(exact)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "path string")
-    return found.select("path").distinct()
+        return none
+    return found.select("path", "content")
+
+
+def report_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path`` of each PDF as :func:`report_binaries` finds them; contents aren't read."""
+    return report_binaries(spark, paths).select("path").distinct()
 
 
 def report_facts(pages: DataFrame, key: str, page: str, column: str) -> DataFrame:
@@ -223,198 +204,3 @@ def corrections(spark: SparkSession, path: str) -> DataFrame:
             raise
         rows = spark.createDataFrame([], schema)
     return rows.withColumnRenamed("value", "corrected_value")
-
-
-# --- HTML and text documents: parsed row by row in Arrow batches --------------
-
-_ROW, _CELL, _TAG = re.compile(r"(?is)<tr\b.*?</tr>"), re.compile(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), re.compile(r"(?s)<[^>]+>")
-
-
-def _cells(row: str) -> list[str]:
-    return [html.unescape(_TAG.sub("", c)).strip() for c in _CELL.findall(row)]
-
-
-def html_table(pages: DataFrame, key: str, column: str, div_id: str, number: int = 0) -> DataFrame:
-    """``key, row, cells`` of the rows of a table in the ``number``-th element with an id; pages without it give none."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start = re.compile(rf"""(?i)<div[^>]*\bid=["']?{re.escape(div_id)}["'\s>]""")
-        for f in frames:
-            out = []
-            for k, page in zip(f[key], f[column], strict=True):
-                places = [m.start() for m in start.finditer(page or "")]
-                if len(places) > number:
-                    part = page[places[number] : places[number + 1] if len(places) > number + 1 else None]
-                    rows = [c for c in map(_cells, _ROW.findall(part)) if c]
-                    out += [(k, i, c) for i, c in enumerate(rows)]
-            yield pd.DataFrame(out, columns=[key, "row", "cells"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, column).mapInPandas(parse, f"{key} {kind}, row int, cells array<string>")
-
-
-def links(pages: DataFrame, key: str, column: str) -> DataFrame:
-    """``key, href, label`` of each link of a page; JVM-side."""
-    found = F.regexp_extract_all(column, F.lit(r"""(?is)<a\b[^>]*href=["'][^"']*["'][^>]*>.*?</a>"""), F.lit(0))
-    one = pages.select(key, F.explode(found).alias("a"))
-    return one.select(
-        key, F.regexp_extract("a", r"""(?i)href=["']([^"']*)["']""", 1).alias("href"), F.trim(F.regexp_replace(F.regexp_replace("a", "(?s)<[^>]+>", ""), r"\s+", " ")).alias("label")
-    )
-
-
-def decode_fixture_rows(rows: DataFrame, columns: list[str], names: DataFrame) -> DataFrame:
-    """Positional cells as named columns; ``names(site_name, team)`` maps opponents; an empty flag means played."""
-    wide = rows.select("*", *(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns))).drop("cells")
-    mapped = wide.join(names, F.col("Team2") == F.col("site_name"), "left")
-    played = F.when(F.col("Played?") == "", True).when(F.col("Played?") == "h2h", False)
-    return mapped.withColumns({"Team2": F.coalesce("team", "Team2"), "Played?": played}).drop("site_name", "team")
-
-
-def fixture_pages(pages: DataFrame, names: DataFrame, columns: list[str], competition: str | None = None, div_id: str = "team_games") -> DataFrame:
-    """Fixtures of ``pages(team_slug, html)``: the second table of games, decoded; ``Team1`` is the page's team.
-
-    A page without a second table gives no rows.
-    """
-    rows = html_table(pages, "team_slug", "html", div_id, 1)
-    found = decode_fixture_rows(rows, columns, names).withColumn("Team1", F.col("team_slug"))
-    return found if competition is None else found.filter(F.col("Competition") == competition)
-
-
-_BLOCK = re.compile(r"""(?is)<div[^>]*\bclass=["']?section_620 game_report["'\s>]""")
-_COLUMN, _PLAYER = re.compile(r"""(?i)<div[^>]*\bclass=["']?column_300["'\s>]"""), re.compile(r"""(?i)<div[^>]*\bclass=["']?player["'\s>]""")
-_SPAN = re.compile(r"(?is)<span\b([^>]*)>(.*?)</span>\s*<div\b[^>]*>(.*?)</div>")
-#: What an event's title holds, and what the icon of a title-less one is.
-EVENTS = {"Assistência": "Assists", "Vermelhos": "Red Card", "Amarelos": "Yellow Card", "Golos": "Goals", "Entrou": "Substitution IN"}
-ICONS = {"7": "Substitution IN", "8": "Substitution OUT"}
-EVENT_COLUMNS = ("Goals", "Assists", "Red Card", "Yellow Card", "Substitution OUT", "Substitution IN")
-
-
-def _between(text: str, starts: re.Pattern) -> list[str]:
-    at = [m.start() for m in starts.finditer(text)]
-    return [text[a:z] for a, z in zip(at, [*at[1:], len(text)], strict=False)]
-
-
-def _inner(text: str, name: str) -> str | None:
-    found = re.search(rf"""(?is)<div[^>]*\bclass=["']?{name}["'\s>][^>]*?>?(.*?)</div>""", text)
-    return html.unescape(_TAG.sub("", found[1])).strip() if found else None
-
-
-def _events(text: str) -> list[str]:
-    found = {c: [] for c in EVENT_COLUMNS}
-    for marks, icon, minute in _SPAN.findall(text):
-        title = (re.search(r"""(?i)title=["']([^"']*)["']""", marks) or ["", ""])[1]
-        kind = next((k for mark, k in EVENTS.items() if mark in title), None) or ("grey" in marks and ICONS.get(_TAG.sub("", icon).strip())) or None
-        if kind:
-            found[kind].append(html.unescape(_TAG.sub("", minute)).strip())
-    return [", ".join(x) for x in found.values()]
-
-
-def match_reports(pages: DataFrame, key: str, column: str) -> DataFrame:
-    """``key, team, status, number, name`` and a column of minutes for each kind of event, of each player of a match page.
-
-    The first block of a page holds those who start, the second the substitutes;
-    each has a column for each team. A page with fewer blocks gives no rows.
-    """
-    names = [key, "team", "status", "number", "name", *EVENT_COLUMNS]
-
-    def players(page: str):
-        blocks = _between(page, _BLOCK)
-        teams: list[str | None] = [None, None]
-        for status, block in zip(("Starter", "Suplente"), blocks, strict=False) if len(blocks) > 1 else ():
-            for i, part in enumerate(_between(block, _COLUMN)[:2]):
-                teams[i] = _inner(part, "subtitle") or teams[i]
-                for one in _between(part, _PLAYER):
-                    yield teams[i], status, _inner(one, "number"), _inner(one, "name"), *_events(one)
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, *x) for k, page in zip(f[key], f[column], strict=True) for x in players(page or "")]
-            yield pd.DataFrame(rows, columns=names)
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, column).mapInPandas(parse, f"`{key}` {kind}, " + ", ".join(f"`{c}` string" for c in names[1:]))
-
-
-_STAFF, _NAME = re.compile(r"""(?i)<div[^>]*\bclass=["']?staff["'\s>]"""), re.compile(r"""(?i)<div[^>]*\bclass=["']?name["'\s>]""")
-_LINK = re.compile(r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["'][^>]*>(.*?)</a>""")
-_PHOTO = re.compile(r"""(?is)<div[^>]*\bclass=["']?photo["'\s>][^>]*\burl\(["']?([^"')]*)""")
-
-
-def squads(pages: DataFrame, key: str, column: str, site: str) -> DataFrame:
-    """``key, number, name, profile_url, photo_url`` of each person on a squad page; those without a link are left out."""
-
-    def people(page: str):
-        for one in _between(page, _STAFF):
-            name = _NAME.search(one)
-            link = _LINK.search(one, name.start()) if name else None
-            if link:
-                photo = _PHOTO.search(one)
-                words = html.unescape(_TAG.sub("", link[2])).strip()
-                yield _inner(one, "number"), words or _inner(one, "name"), site + link[1] if link[1].startswith("/") else link[1], photo[1] if photo else None
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, *x) for k, page in zip(f[key], f[column], strict=True) for x in people(page or "")]
-            yield pd.DataFrame(rows, columns=[key, "number", "name", "profile_url", "photo_url"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, column).mapInPandas(parse, f"`{key}` {kind}, number string, name string, profile_url string, photo_url string")
-
-
-def player_stats(pages: DataFrame, key: str, column: str, div_id: str = "team_games") -> DataFrame:
-    """``key, row, name, value``: the cells of a player's table of competitions under the names that its first row gives.
-
-    A nameless first column is the ``Competition``, and empty in the row of the
-    ``Total``; other nameless ones are called by their place. ``key`` is unique.
-    """
-    rows = html_table(pages, key, column, div_id)
-    names = F.first("cells").over(Window.partitionBy(key).orderBy("row"))
-    cells = rows.withColumn("names", names).filter("row > 0").select(key, "row", "cells", F.posexplode("names").alias("at", "head"))
-    value, lead = F.get("cells", F.col("at")), (F.col("at") == 0) & (F.col("head") == "")
-    name = F.when(lead, "Competition").when(F.col("head") == "", F.concat(F.lit("col_"), F.col("at").cast("string"))).otherwise(F.col("head"))
-    return cells.select(key, "row", name.alias("name"), F.when(lead & (value == ""), "Total").otherwise(value).alias("value"))
-
-
-_DATE = re.compile(r"\b\d{2}-\d{2}-\d{4}\b")
-
-
-def report_tables(texts: DataFrame, key: str, column: str, stops: list[str]) -> DataFrame:
-    """``key, label, date, value`` of report pages: a line with two or more dates heads a table.
-
-    Each later line is a label and its values, one for each date; a line without
-    values continues the label before it; a dash is missing; a stop word ends the
-    table. Decimal commas are read.
-    """
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for k, page in zip(f[key], f[column], strict=True):
-                heads: list[str] = []
-                own: list[list] = []
-                for line in (page or "").splitlines():
-                    found = _DATE.findall(line)
-                    if len(found) >= 2:
-                        heads = found
-                        continue
-                    if not heads or not line.strip():
-                        continue
-                    if any(s in line for s in stops):
-                        heads = []
-                        continue
-                    parts = line.split()
-                    n = 0
-                    while n < len(parts) and re.fullmatch(r"-|[-+]?\d+([.,]\d+)?", parts[-1 - n]):
-                        n += 1
-                    n = min(n, len(heads))
-                    label = " ".join(parts[: len(parts) - n])
-                    if n:
-                        own.append([label, list(zip(heads, parts[len(parts) - n :], strict=False))])
-                    elif own:
-                        own[-1][0] += " " + label
-                out += [(k, label, d, v) for label, values in own for d, v in values if v != "-"]
-            yield pd.DataFrame(out, columns=[key, "label", "day", "text"])
-
-    kind = texts.schema[key].dataType.simpleString()
-    raw = texts.select(key, column).mapInPandas(parse, f"{key} {kind}, label string, day string, text string")
-    return raw.select(key, "label", F.try_to_date("day", "dd-MM-yyyy").alias("date"), numeric(F.regexp_replace("text", ",", ".")).alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loadlark.functions import anthropometry, text
 from loadlark.operators import asof, body, correlation, models, players, season
 from loadlark.plans.reference import queries
+from loadlark.sources import pages as pages_of
 from loadlark.sources import readers, sinks
 from loadlark.streaming.weekly import weekly_load_stream
 
@@ -169,13 +170,10 @@ def test_round_trip_of_sessions(spark, tmp_path):
     assert readers.sessions(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_html_and_reports(spark):
+def test_html_table(spark):
     page = '<div id="g"></div><div id="g"><table><tr><td>a</td><td>b &amp; c</td></tr><tr></tr></table></div>'
-    got = readers.html_table(spark.createDataFrame([(1, page), (2, None)], "k int, h string"), "k", "h", "g", 1).collect()
+    got = pages_of.html_table(spark.createDataFrame([(1, page), (2, None)], "k int, h string"), "k", "h", "g", 1).collect()
     assert [(r["k"], r["cells"]) for r in got] == [(1, ["a", "b & c"])]
-    report = "Nome 01-02-2025 03-04-2025\nPeso (kg) 70,5 -\nMassa\ntotal 3 4\nFim\nx 1 2"
-    rows = readers.report_tables(spark.createDataFrame([(1, report)], "k int, t string"), "k", "t", ["Fim"]).collect()
-    assert {(r["label"], r["date"], r["value"]) for r in rows} >= {("Peso (kg) Massa", date(2025, 2, 1), 70.5), ("total", date(2025, 4, 3), 4.0)}
 
 
 def test_weekly_stream(spark, tmp_path):

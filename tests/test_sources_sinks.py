@@ -6,6 +6,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from loadlark.operators import season
+from loadlark.sources import pages as pages_of
 from loadlark.sources import readers, sinks
 
 HEAD = "Result - abv,Date,Hour,Location,Team1,Team2,Result,Competition,Matchweek,Played?\n"
@@ -36,7 +37,7 @@ def test_fixture_pages(spark):
     page = "<div id='team_games'><table></table></div><div id='team_games'><table>" + cells("V", "(C)", "Bee &amp; Co", "2-1", "Liga", "J1", "") + cells("", "(F)", "c", "", "Liga", "J2", "h2h") + cells("V", "(C)", "d", "1-0", "Cup", "R1", "") + "</table></div>"
     pages = spark.createDataFrame([("a", page), ("x", "<div id='team_games'></div>"), ("y", None)], "team_slug string, html string")
     names = spark.createDataFrame([("Bee & Co", "b")], "site_name string, team string")
-    got = readers.fixture_pages(pages, names, ["abv", "Location", "Team2", "Result", "Competition", "Matchweek", "Played?"], "Liga")
+    got = pages_of.fixture_pages(pages, names, ["abv", "Location", "Team2", "Result", "Competition", "Matchweek", "Played?"], "Liga")
     assert sorted((r["Team1"], r["Team2"], r["Played?"]) for r in got.collect()) == [("a", "b", True), ("a", "c", False)]
     played, remaining = season.split_fixtures(got)
     assert [tuple(r)[:5] for r in played.collect()] == [(1, "a", "b", 2, 1)] and [tuple(r) for r in remaining.collect()] == [(2, "c", "a")]
@@ -49,7 +50,7 @@ def test_match_reports(spark):
     start = "<div class='section_620 game_report'><div class='column_300'><div class='subtitle'>Reds</div>" + player(9, "Ann", goals) + "</div><div class='column_300'><div class='subtitle'>Blues</div>" + player(1, "Bea &amp; C") + "</div></div>"
     bench = "<div class='section_620 game_report'><div class='column_300'>" + player(12, "Cat", "<div class='events'>" + event("Entrou", "80'") + event("Cartões Amarelos", "85'") + "</div>") + "</div><div class='column_300'></div></div>"
     pages = spark.createDataFrame([("u", "<html>" + start + bench), ("one", start), ("none", None)], "match_url string, page string")
-    got = {r["name"]: r.asDict() for r in readers.match_reports(pages, "match_url", "page").collect()}
+    got = {r["name"]: r.asDict() for r in pages_of.match_reports(pages, "match_url", "page").collect()}
     assert {k: (v["match_url"], v["team"], v["status"], v["number"]) for k, v in got.items()} == {
         "Ann": ("u", "Reds", "Starter", "9"), "Bea & C": ("u", "Blues", "Starter", "1"), "Cat": ("u", "Reds", "Suplente", "12"),
     }
@@ -130,11 +131,11 @@ def test_squads_and_player_stats(spark):
     person = lambda n, name, href: f"<div class='staff'><div class='number'>{n}</div><div class='photo' style=\"background:url('/p{n}.png')\"></div><div class='name'><div class='micrologo_and_text'><div class='text'>{href and f'<a href={chr(34)}{href}{chr(34)}>'}{name}</a></div></div></div></div>"
     page = person(9, "Ann &amp; A", "/jogador/ann/1") + person(10, "Nobody", "") + person(11, "Cat", "https://x/c")
     pages = spark.createDataFrame([("t", page), ("none", None)], "team string, html string")
-    assert sorted(tuple(r) for r in readers.squads(pages, "team", "html", "https://site").collect()) == [
+    assert sorted(tuple(r) for r in pages_of.squads(pages, "team", "html", "https://site").collect()) == [
         ("t", "11", "Cat", "https://x/c", "/p11.png"), ("t", "9", "Ann & A", "https://site/jogador/ann/1", "/p9.png"),
     ]
     row = lambda tag, *x: "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in x) + "</tr>"
     stats = "<div id='team_games'><table class='zztable'>" + row("th", "", "J", "") + row("td", "Liga", "3", "a") + row("td", "", "4") + "</table></div>"
-    got = readers.player_stats(spark.createDataFrame([("p", stats), ("q", "")], "player string, html string"), "player", "html")
+    got = pages_of.player_stats(spark.createDataFrame([("p", stats), ("q", "")], "player string, html string"), "player", "html")
     assert sorted(tuple(r) for r in got.collect() if r["row"] == 1) == [("p", 1, "Competition", "Liga"), ("p", 1, "J", "3"), ("p", 1, "col_2", "a")]
     assert sorted((r["name"], r["value"]) for r in got.collect() if r["row"] == 2) == [("Competition", "Total"), ("J", "4"), ("col_2", None)]
