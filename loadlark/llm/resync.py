@@ -39,10 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tokens
 from .common import Workspace
 
-TEXTS_AT_ONCE = 128
-
 
 @dataclass(frozen=True)
 class Plan:
@@ -103,14 +102,11 @@ _MARKS_SQL = "array<struct<at:long,n:long>>"
 
 
 def whole(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens`` of texts encoded in one piece."""
+    """``doc_id, n_bytes, n_tokens`` of texts that are one piece each; a worker looks up words that it has met (see :mod:`.tokens`)."""
 
     def counted(batches):
         for b in batches:
-            n = []
-            for i in range(0, b.num_rows, TEXTS_AT_ONCE):
-                found = tokenizer(path).encode_batch_fast(b.column(2).slice(i, TEXTS_AT_ONCE).to_pylist(), add_special_tokens=False)
-                n += map(len, found)
+            n = [len(raw) // 4 for raw in tokens.encoded(b.column(2), path)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return docs.select("doc_id", "n_bytes", "text").mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long")
@@ -211,13 +207,13 @@ def counts(docs: DataFrame, path: str, plan: Plan = Plan()) -> DataFrame:
     texts = huge.select("row", "text")
     state = work.save(encode(texts, pieces, path, plan))
     while True:
-        found = spliced(state)
+        found = work.save(spliced(state).drop("total", "left", "right"))
         if found.filter("n is null").isEmpty():
             break
         asked = work.save(widened(found))
         again = encode(texts, asked.filter("changed").drop("changed"), path, plan)
         newer = work.save(again.unionByName(state.join(asked.filter("not changed").select("row", "start"), ["row", "start"])))
-        work.drop(state, asked)
+        work.drop(state, asked, found)
         state = newer
     sums = found.groupBy("row").agg(F.sum("n").alias("n_tokens"))
     return short.unionByName(huge.select("row", "doc_id", "n_bytes").join(sums, "row").select("doc_id", "n_bytes", "n_tokens"))
