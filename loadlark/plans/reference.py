@@ -430,12 +430,12 @@ def kpi_cards(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import body_report, documents, reference_more  # noqa: F401  register the rest
+    from . import body_report, documents, reference_more, stored  # noqa: F401  register the rest
 
     return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import body_report, documents, reference_more  # noqa: F401
+    from . import body_report, documents, reference_more, stored  # noqa: F401
 
     return {k: sql for k, (_, sql) in _found.items() if sql}

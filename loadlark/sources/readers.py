@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.dates import season
 from ..functions.numbers import numeric
+from .log import Log
 
 _D, _S = T.DoubleType(), T.StringType()
 SESSION_SCHEMA = T.StructType(
@@ -82,13 +83,10 @@ def team_fixtures(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def processed_fixtures(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``(played, remaining)`` as :func:`~loadlark.sources.sinks.save_fixtures` writes them; what isn't there is empty."""
-
-    def one(name: str, schema: str) -> DataFrame:
-        path = f"{folder}/{name}"
-        return spark.read.schema(schema).parquet(path) if existing(spark, [path]) else spark.createDataFrame([], schema)
-
-    return one("fixtures_played", PLAYED_SCHEMA), one("fixtures_remaining", REMAINING_SCHEMA)
+    """``(played, remaining)`` as :func:`~loadlark.sources.sinks.save_fixtures` left them last, of one version; empty if it never ran."""
+    log = Log(spark, folder, {"played": PLAYED_SCHEMA, "remaining": REMAINING_SCHEMA})
+    now = log.version()
+    return log.read("played", now), log.read("remaining", now)
 
 
 def stale(spark: SparkSession, sources: list[str], output: str) -> bool:
@@ -122,7 +120,7 @@ def body_measurements(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Columns of assessment files that hold text; every other one but dates is a number.
-_WORDS = {"season", "group", "metric", "unit", "note", "reference", "source_file", "corrected", "correction_note", "meaningful_change", "verdict"}
+_WORDS = {"season", "phase", "group", "metric", "unit", "note", "reference", "source_file", "corrected", "correction_note", "meaningful_change", "verdict"}
 
 
 def assessment_table(spark: SparkSession, path: str, least: str = "date date, season string") -> DataFrame:

@@ -146,7 +146,7 @@ def _opened(uri: str):
     source = fs.open_input_file(path)
     try:
         return zipfile.ZipFile(source)
-    except (zipfile.BadZipFile, OSError) as e:  # one that is too short fails as it is searched
+    except (zipfile.BadZipFile, OSError, ValueError) as e:  # one that is too short fails as it is searched
         raise ValueError(f"{uri} is not a workbook") from e
 
 

@@ -163,7 +163,7 @@ def test_formulas(spark):
 def test_round_trip_of_sessions(spark, tmp_path):
     path = str(tmp_path / "log")
     sinks.append_session(spark, {"date": date(2025, 1, 1), "session_kind": "training", "duration_min": 80}, path)
-    back = spark.read.parquet(path)
+    back = sinks.session_log(spark, path).read("sessions")
     assert back.count() == 1 and back.first()["duration_min"] == 80.0
     sinks.save_sessions(back, str(tmp_path / "csv"), "csv")
     assert readers.sessions(spark, str(tmp_path / "csv")).first()["session_kind"] == "training"

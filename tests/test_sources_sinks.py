@@ -1,13 +1,15 @@
 """Files written and read back: fixtures of many teams, match pages, the session log and its changes."""
 
 import os
-from datetime import date
+from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from loadlark.operators import season
 from loadlark.sources import pages as pages_of
 from loadlark.sources import readers, sinks
+from loadlark.sources.log import Conflict
 
 HEAD = "Result - abv,Date,Hour,Location,Team1,Team2,Result,Competition,Matchweek,Played?\n"
 
@@ -64,11 +66,66 @@ def test_sync_of_the_stored_log(spark, tmp_path):
         sinks.append_session(spark, r, path)
     for r in (row(2, "training"), row(3, "game")):
         sinks.append_session(spark, r, f"{tmp_path}/new")
-    read = lambda p: spark.read.schema(readers.SESSION_SCHEMA).parquet(p)
-    changes = sinks.sync(read(f"{tmp_path}/new"), read(path), path)
+    read = lambda p: sinks.session_log(spark, p).read("sessions")
+    before = read(path)
+    changes = sinks.sync(read(f"{tmp_path}/new"), path)
     assert sorted((r["date"].day, r["change"]) for r in changes.collect()) == [(1, "removed"), (3, "added")]
     assert sorted(r["date"].day for r in read(path).collect()) == [2, 3]
-    assert sinks.sync(read(f"{tmp_path}/new"), read(path), path, write=False).count() == 0
+    assert sorted(r["date"].day for r in before.collect()) == [1, 2]  # one who reads an older version isn't disturbed
+    assert sinks.sync(read(f"{tmp_path}/new"), path, write=False).count() == 0
+
+
+def test_a_log_is_never_half_written(spark, tmp_path, monkeypatch):
+    log = sinks.session_log(spark, f"{tmp_path}/log")
+    rows = lambda *days: spark.createDataFrame([(date(2024, 9, d), "game") for d in days], "date date, session_kind string")
+    full = lambda df: df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in readers.SESSION_SCHEMA.fields))
+    days = lambda v=None: sorted(r["date"].day for r in log.read("sessions", v).collect())
+    assert log.version().number == 0 and days() == []
+    first = log.append({"sessions": full(rows(1, 2))}, "a")
+    with monkeypatch.context() as m:  # the rows are written, the job dies before the manifest
+        m.setattr(log, "_commit", lambda new: (_ for _ in ()).throw(OSError("lost")))
+        for write in (lambda: log.append({"sessions": full(rows(3))}, "b"), lambda: log.replace({"sessions": full(rows(9))})):
+            with pytest.raises(OSError):
+                write()
+    assert days() == [1, 2]
+    log.append({"sessions": full(rows(3))}, "b")
+    log.append({"sessions": full(rows(3))}, "b")  # run again: counted once
+    log.append({"sessions": full(rows())})
+    assert days() == [1, 2, 3] and days(first) == [1, 2]
+    old = log.version()
+    other = sinks.session_log(spark, f"{tmp_path}/log")
+    other.append({"sessions": full(rows(4))})
+    with pytest.raises(Conflict):
+        log.replace({"sessions": full(rows(5))}, old)
+    assert days() == [1, 2, 3, 4]
+    real, taken = log._commit, []
+
+    def late(new):  # another writer takes the number first
+        if not taken:
+            taken.append(other.append({"sessions": full(rows(6))}))
+        return real(new)
+
+    monkeypatch.setattr(log, "_commit", late)
+    log.append({"sessions": full(rows(7))})
+    assert days() == [1, 2, 3, 4, 6, 7]
+    gone = log.clean(1)
+    assert sum(g.startswith("data/") for g in gone) == 3 and days() == [1, 2, 3, 4, 6, 7] and log.clean(1) == []
+    with pytest.raises(KeyError):
+        log.version(1)
+
+
+def test_wide_csv_has_units_in_its_header(spark, tmp_path):
+    d = lambda m, y: date(2024 + y, m, 1)
+    long = spark.createDataFrame(
+        [("a", d(9, 0), "Peso", "kg", 70.5), ("a", d(1, 1), "Peso", "kg", 71.0), ("a", d(1, 1), "Altura", "cm", 180.0), ("a", d(9, 0), "IMC", "", 22.0), ("b", d(9, 0), "Peso", "kg", None)],
+        "player string, date date, metric string, unit string, value double",
+    )
+    sinks.save_wide(long, ["player", "date"], f"{tmp_path}/wide")
+    lines = [x for f in sorted((tmp_path / "wide").glob("*.csv")) for x in f.read_text().splitlines()]
+    assert lines[0] == "player,date,season,phase,IMC,Peso (kg),Altura (cm)"
+    assert [x for x in lines if x != lines[0]] == ["a,2024-09-01,2024/25,1ª volta,22.0,70.5,", "a,2025-01-01,2024/25,2ª volta,,71.0,180.0", "b,2024-09-01,2024/25,1ª volta,,,"]
+    back = readers.assessment_table(spark, f"{tmp_path}/wide")
+    assert dict(back.dtypes)["Peso (kg)"] == "double" and back.count() == 3
 
 
 def test_stale(spark, tmp_path):
@@ -139,3 +196,27 @@ def test_squads_and_player_stats(spark):
     got = pages_of.player_stats(spark.createDataFrame([("p", stats), ("q", "")], "player string, html string"), "player", "html")
     assert sorted(tuple(r) for r in got.collect() if r["row"] == 1) == [("p", 1, "Competition", "Liga"), ("p", 1, "J", "3"), ("p", 1, "col_2", "a")]
     assert sorted((r["name"], r["value"]) for r in got.collect() if r["row"] == 2) == [("Competition", "Total"), ("J", "4"), ("col_2", None)]
+
+
+def test_daily_stream_with_late_and_corrected_rows_and_a_restart(spark, tmp_path):
+    """Rows that come late, twice and corrected, over three runs from one checkpoint, against the batch operators."""
+    from loadlark.operators import load
+    from loadlark.streaming.daily import daily_acwr_stream, run_available
+
+    schema = "player_id int, session_id long, version long, ts timestamp, load_m double"
+    row = lambda p, i, v, day, m: (p, i, v, datetime(2024, 1, 1, 10) + timedelta(days=day), m)
+    lots = [
+        [row(1, i, 1, 2 * i, 100.0 + i) for i in range(15)] + [row(2, 100, 1, 3, 7.0), (None, 1, 1, datetime(2024, 1, 2), 1.0), row(1, 3, 0, 6, 5.0)],
+        [row(1, i, 1, 2 * i, 100.0 + i) for i in range(15, 40)] + [row(1, 14, 2, 27, 50.0), row(1, 13, 0, 26, 9.0), row(2, 101, 1, 40, 8.0), row(2, 101, 1, 40, 8.0)],
+        [row(1, 40, 1, 120, 1.0), row(1, 999, 1, 2, 1000.0), row(2, 102, 1, 80, None), row(2, 100, 5, 3, 70.0)],  # 999, and 100 again: long after their days were final
+    ]
+    sizes = []
+    for lot in lots:
+        spark.createDataFrame(lot, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = daily_acwr_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["player_id"], "load_m")
+        sizes.append(run_available(stream, f"{tmp_path}/out", f"{tmp_path}/c").lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {(r["player_id"], r["date"]): (r["load"], r["acute"], r["chronic"], r["acwr"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    final = [row(1, i, 1, 2 * i, 100.0 + i) for i in range(40) if i != 14] + [row(1, 14, 2, 27, 50.0), row(2, 100, 1, 3, 7.0), row(2, 101, 1, 40, 8.0), row(2, 102, 1, 80, 0.0)]
+    batch = load.daily_acwr(load.daily_load(spark.createDataFrame(final, schema).withColumn("date", F.to_date("ts")), ["player_id"], "load_m"), ["player_id"])
+    assert got == {(r["player_id"], r["date"]): (r["load"], r["acute"], r["chronic"], r["acwr"]) for r in batch.collect()}
+    assert len(got) == 79 + 78 and max(sizes) <= 6  # two values an entity and its timer, whatever has passed through
