@@ -6,6 +6,7 @@ Used inside tasks; Spark deals out the rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,62 @@ def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
     return mix((sums[e] - sums[s]) * down[s])
+
+
+@cache
+def _cases() -> np.ndarray:
+    """For each character of the basic plane the one that stands for it whatever its case, 0 for what is neither letter nor digit.
+
+    The case-folded form if it is one character, else the lower-case one; the upper-case
+    one where that is shorter in UTF-8, so that folding never makes a text longer. A
+    lower case of two characters (a dotted I) counts as the letter among them.
+    """
+    size = lambda c: len(c.encode())
+    out = np.zeros(0x10000, np.uint32)
+    for cp in (*range(0x80), *range(0x80, 0xD800), *range(0xE000, 0x10000)):
+        c = chr(cp)
+        if c.isalnum():
+            forms = ("".join(x for x in f if x.isalnum()) for f in (c.casefold(), c.lower()))
+            out[cp] = next((ord(f) for f in forms if len(f) == 1 and size(f) <= size(c)), cp)
+    for cp in range(0x80, 0x800):  # a longer lower case goes back to its capital
+        low = chr(cp).lower()
+        if chr(cp).isalnum() and len(low) == 1 and size(low) > size(chr(cp)):
+            out[ord(low)] = cp
+    return out
+
+
+def folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and digits of valid UTF-8 without their case, and the place of each kept byte.
+
+    The last byte of a character that became shorter has the place of its old last byte.
+    """
+    chars, keep, place = LOWER[data], ALNUM[data], None
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        b = data[lead].astype(np.uint32)
+        size = 2 + (b >= 0xE0) + (b >= 0xF0)
+        cp = b & (0xFF >> (size + 1)).astype(np.uint32)
+        for k in (1, 2, 3):
+            more = size > k
+            cp[more] = cp[more] << 6 | (data[lead[more] + k] & 0x3F)
+        new = np.zeros(len(cp), np.uint32)
+        plain = cp < 0x10000
+        new[plain] = _cases()[cp[plain]]
+        if not plain.all():
+            high, where = np.unique(cp[~plain], return_inverse=True)
+            low = [x.lower() if (x := chr(c)).isalnum() else "\0" for c in high.tolist()]
+            new[~plain] = np.array([ord(x) if len(x) == 1 else c for x, c in zip(low, high.tolist(), strict=True)], np.uint32)[where.ravel()]
+        length = np.where(new == 0, 0, 1 + (new >= 0x80).astype(np.int64) + (new >= 0x800) + (new >= 0x10000))
+        for k in range(4):  # byte k of the new form, dropped where that has fewer
+            old = size > k
+            keep[lead[old] + k] = (length > k)[old]
+            put = length > k
+            bits = new[put] >> (6 * (length[put] - 1 - k)).astype(np.uint32)
+            first = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[length[put]]
+            chars[lead[put] + k] = (first | bits if k == 0 else 0x80 | (bits & 0x3F)).astype(np.uint8)
+        short = (length > 0) & (length < size)
+        if short.any():
+            place = np.arange(len(data))
+            place[lead[short] + length[short] - 1] = (lead + size - 1)[short]
+    at = np.flatnonzero(keep)
+    return chars[at], at if place is None else place[at]

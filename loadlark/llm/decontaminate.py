@@ -1,8 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts and benchmark items are reduced to lower-case letters and digits (all
-bytes of other scripts stay), so that case, spacing and punctuation don't hide
-a passage. For an item of length ``L`` with at most ``e = error * L`` edits the
+Texts and benchmark items are reduced to letters and digits without their case, of
+every script, so that case, spacing, dashes and quotes of any form don't hide a
+passage. For an item of length ``L`` with at most ``e = error * L`` edits the
 q-gram lemma says that an occurrence keeps at least ``L + 1 - q - q * e`` of the
 item's q-grams, on diagonals (text position less item position) within ``e`` of
 each other. Hits are therefore counted in overlapping diagonal bands of width
@@ -13,12 +13,15 @@ verified by banded alignment of the whole item against the text region.
 Texts are scanned in Arrow batches: eight bytes are one 64-bit q-gram, a bitmap
 drops those that no item has, and only the rest is looked up. The item index is
 broadcast in blocks of at most ``block_chars`` and made once a worker; a larger
-benchmark takes several passes instead of a larger broadcast.
+benchmark takes several passes, each saved before the next block is sent, instead of
+a larger broadcast.
 
 Defined cases: null and empty texts or items, and items without a letter or digit,
-give no row; an item of fewer than ``least`` reduced bytes is searched without
-edits, one of fewer than ``inside`` only between word ends of the text, so that a
-short answer isn't found inside of words; an item is found whole or not at all;
+give no row; the edits that an item may have follow from its length alone, by one
+rule: as many as ``error`` says and the lemma can prove, which is none below two
+q-grams; such a short item is searched exactly and between word ends of the text, so
+that an answer like a name isn't found inside of words; an item is found whole or not
+at all;
 the best region (least edits, then first) is reported for each document and item;
 repeated rows are reported each; other columns aren't read.
 """
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as A
+from .common import Workspace
 
 Q = 8
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int, n_shared int"
@@ -43,22 +47,16 @@ SCHEMA = "doc_id long, item_id long, start long, end long, edits int, n_shared i
 @dataclass(frozen=True)
 class Plan:
     error: float = 0.08
-    least: int = 40
     block_chars: int = 8_000_000
-    inside: int = 2 * Q + 1
 
     def budget(self, length: int) -> int:
-        """Edits that an item of this length may have, none under ``least``; the lemma's bound stays above zero."""
-        return 0 if length < self.least else min(int(self.error * length), (length - Q) // Q - 1)
+        """Edits that an item of this length may have: with more, the lemma wouldn't promise a single shared q-gram."""
+        return max(0, min(int(self.error * length), (length - Q) // Q))
 
 
 def reduced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of letters and digits in lower case, each row's offsets among them, and their old positions."""
-    at = np.flatnonzero(A.ALNUM[data])
-    chars = A.LOWER[data[at]]
-    latin = np.flatnonzero(chars[:-1] == 0xC3) + 1  # À to Þ as two bytes
-    capital = latin[(chars[latin] >= 0x80) & (chars[latin] <= 0x9E) & (chars[latin] != 0x97)]
-    chars[capital] += 32
+    """Bytes of letters and digits without their case, each row's offsets among them, and their old positions."""
+    chars, at = A.folded(data)
     return chars, np.searchsorted(at, offsets), at
 
 
@@ -107,7 +105,7 @@ class Index:
         self.edit = np.array(self.edits, np.int64)
         self.length = np.array([len(x) for x in self.text], np.int64)
         self.bound = self.length + 1 - Q - Q * self.edit
-        self.between = self.length < plan.inside
+        self.between = self.length < 2 * Q
         self.tiny = {n: tuple(np.array(x) for x in zip(*sorted(own), strict=True)) for n, own in self.tiny.items()}
 
     def whole(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,17 +259,24 @@ def _regions(chars: np.ndarray, o: np.ndarray, index: Index):
 
 
 def _blocks(benchmark: DataFrame, plan: Plan):
-    """Broadcasts of whole items, together all of the benchmark, each of ``block_chars`` bytes or about that."""
+    """The number of blocks, and broadcasts of whole items, together all of the benchmark, each of ``block_chars`` bytes or about that.
+
+    A block is sent when the one before isn't needed any more.
+    """
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
         "text is not null and item_id is not null"
     )
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // plan.block_chars))
-    for block in range(n):
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
-        listed = sorted((r["item_id"], r["text"]) for r in own.toLocalIterator())
-        yield spark.sparkContext.broadcast(Held(listed, plan))
+
+    def sent():
+        for block in range(n):
+            own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
+            listed = sorted((r["item_id"], r["text"]) for r in own.toLocalIterator())
+            yield spark.sparkContext.broadcast(Held(listed, plan))
+
+    return n, sent()
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -295,7 +300,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> D
 
         return found
 
-    return reduce(DataFrame.unionByName, [texts.mapInArrow(scan(x), SCHEMA) for x in _blocks(benchmark, plan)])
+    n, blocks = _blocks(benchmark, plan)
+    if n == 1:
+        return texts.mapInArrow(scan(next(blocks)), SCHEMA)
+    work, tables = Workspace(docs.sparkSession), []
+    for x in blocks:
+        tables.append(work.save(texts.mapInArrow(scan(x), SCHEMA)))
+        x.destroy()
+    return reduce(DataFrame.unionByName, tables)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -313,6 +325,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan()) -> DataFra
 
         return kept
 
-    for x in _blocks(benchmark, plan):
-        docs = docs.mapInArrow(scan(x), plain)
-    return docs.toDF(*names)
+    n, blocks = _blocks(benchmark, plan)
+    if n == 1:
+        return docs.mapInArrow(scan(next(blocks)), plain).toDF(*names)
+    work, left = Workspace(docs.sparkSession), None
+    for x in blocks:
+        fewer = work.save((docs if left is None else left).mapInArrow(scan(x), plain))
+        x.destroy()
+        if left is not None:
+            work.drop(left)
+        left = fewer
+    return left.toDF(*names)
