@@ -35,10 +35,10 @@ def calibrate_gap(wide: DataFrame, by: list[str]) -> DataFrame:
     """
     printed = F.col(f"`{FAT_SEDENTARY}`") - F.col(f"`{FAT_ATHLETE}`")
     implied = F.col(f"`{FAT_SEDENTARY}`") - A.fat_from_lean_mass(F.col(f"`{WEIGHT}`"), F.col(f"`{LEAN}`"))
-    sums = wide.groupBy(*by).agg(F.avg(printed).alias("p"), F.count(printed).alias("np"), F.avg(implied).alias("i"), F.count(implied).alias("ni"))
-    first, second = F.col("np") > 0, F.col("ni") > 0
+    sums = wide.groupBy(*by).agg(F.avg(printed).alias("_p"), F.count(printed).alias("_np"), F.avg(implied).alias("_i"), F.count(implied).alias("_ni"))
+    first, second = F.col("_np") > 0, F.col("_ni") > 0
     return sums.select(
-        *by, F.coalesce("p", "i").alias("gap"), F.when(first, F.col("np")).otherwise(F.col("ni")).alias("n"),
+        *by, F.coalesce("_p", "_i").alias("gap"), F.when(first, F.col("_np")).otherwise(F.col("_ni")).alias("n"),
         F.when(first, "printed").when(second, "lean mass").otherwise("").alias("origin"),
     )
 

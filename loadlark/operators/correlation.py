@@ -2,56 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.classes import reliability
 from ..functions.numbers import half_even
+from ..functions.special import rank_correlation_p
 
-
-def _tail(t: float, df: int) -> float:
-    """Two-sided tail of Student's t, by the continued fraction of the incomplete beta function."""
-    x, a, b = df / (df + t * t), df / 2.0, 0.5
-    if x >= 1:
-        return 1.0
-    if x <= 0:
-        return 0.0
-
-    def fraction(a: float, b: float, x: float) -> float:
-        tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d if abs(d) > tiny else tiny)
-        h = d
-        for m in range(1, 400):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + num * d
-                d = 1 / (d if abs(d) > tiny else tiny)
-                c = 1 + num / c
-                c = c if abs(c) > tiny else tiny
-                h *= d * c
-            if abs(d * c - 1) < 1e-14:
-                break
-        return h
-
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return min(1.0, front * fraction(a, b, x) / a)
-    return max(0.0, 1 - front * fraction(b, a, 1 - x) / b)
-
-
-@F.pandas_udf(T.DoubleType())
-def p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
-    """Of a rank correlation ``rho`` of ``n`` pairs; over a grid of metrics, a small result."""
-
-    def one(r: float, k: float) -> float | None:
-        if r is None or math.isnan(r):
-            return None
-        return 0.0 if abs(r) >= 1 else _tail(r * math.sqrt((k - 2) / ((1 - r) * (1 + r))), int(k - 2))
-
-    return pd.Series([one(r, k) for r, k in zip(rho, n, strict=True)], dtype="float64")
+# Pairs at which a coefficient is worth trusting, a strong one, and the verdicts.
+TRUSTED, STRONG, PERFECT = 8, 0.5, 0.99
+NOTHING, SOME = "Nothing here separates from chance.", "%d of %d pairs survive false-discovery correction."
 
 
 def spearman_grid(left: DataFrame, right: DataFrame, by: list[str], on: list[str], least: int = 4) -> DataFrame:
@@ -81,7 +41,7 @@ def spearman_grid(left: DataFrame, right: DataFrame, by: list[str], on: list[str
 
 
 def with_p(grid: DataFrame) -> DataFrame:
-    return grid.withColumn("p", half_even(p_value("rho_exact", F.col("n").cast("double")), 4))
+    return grid.withColumn("p", half_even(rank_correlation_p(F.col("rho_exact"), F.col("n")), 4))
 
 
 def benjamini_hochberg(grid: DataFrame, by: list[str], keys: list[str], p: str = "p") -> DataFrame:
@@ -95,10 +55,25 @@ def benjamini_hochberg(grid: DataFrame, by: list[str], keys: list[str], p: str =
 
 
 def findings(grid: DataFrame, by: list[str]) -> DataFrame:
-    """Counts over a grid with ``q``: tested, surviving, underpowered, and too good for their size."""
-    return grid.groupBy(*by).agg(
+    """What a grid with ``q`` says, a row for each ``by``.
+
+    ``tested, survivors, best_n``; ``underpowered``: no pair reaches the size that is
+    worth trusting; ``strong`` survivors; ``suspect_survivors``: those in a perfect
+    order of too few points; ``verdict``; and the pair with the greatest coefficient,
+    survivor or not (of equal ones the first by name), with its ``rho``, ``n`` and
+    ``tier``. An entity without any pair has no row.
+    """
+    size = F.abs("rho")
+    strongest = F.min_by(F.struct("body_metric", "load_metric", "rho", "n", "tier"), F.struct(-size, "body_metric", "load_metric"))
+    counts = grid.groupBy(*by).agg(
         F.count("*").alias("tested"), F.count_if("survives").alias("survivors"), F.max("n").alias("best_n"),
-        F.count_if(F.col("n") < 8).alias("underpowered"), F.count_if((F.abs("rho") >= 0.99) & (F.col("n") < 8)).alias("suspect"),
+        F.count_if(F.col("survives") & (size >= STRONG)).alias("strong"),
+        F.count_if(F.col("survives") & (size >= PERFECT) & (F.col("n") < TRUSTED)).alias("suspect_survivors"), strongest.alias("s"),
+    )
+    return counts.select(
+        *by, "tested", "survivors", "best_n", (F.col("best_n") < TRUSTED).alias("underpowered"), "strong", "suspect_survivors",
+        F.when(F.col("survivors") == 0, NOTHING).otherwise(F.format_string(SOME, "survivors", "tested")).alias("verdict"),
+        *(F.col(f"s.{c}").alias(f"strongest_{c}") for c in ("body_metric", "load_metric", "rho", "n", "tier")),
     )
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import anthropometry as A
+from ..functions import colours
 from ..functions.dates import PHASE_ORDER, position
 from ..functions.numbers import half_even
 from ..operators import baselines as P
-from ..operators import body, comparison, composition, load, reports, summaries
+from ..operators import body, comparison, composition, load, models, reports, summaries
 from ..operators import sessions as S
 from . import bindings as B
 from .reference import _DAILY, _GREF, _MONO, _OFFICIAL, BOD, E, SES, _r, query
@@ -23,15 +26,35 @@ _SHEET = {
     composition.FAT_SEDENTARY: ("k % 5 <> 0", "10 + k % 80 / 10"), composition.FAT_ATHLETE: ("k % 3 = 0", "8 + k % 60 / 10"), "Peso": ("k % 17 <> 0", "60 + k % 300 / 10"),
     "Altura": ("k % 19 <> 0", "165 + k % 30"), "Massa Magra": ("k % 2 = 0", "50 + k % 150 / 10"), "Massa Muscular": ("k % 7 <> 0", "30 + k % 100 / 10"), "Perímetro Cintura": ("k > 0", "70 + k % 30"),
     "Perímetro Anca/Glúteo": ("k % 11 <> 0", "85 + k % 25"), "Perímetro Umbigo": ("k % 13 <> 0", "75 + k % 20"), "Perímetro Braço": ("k > 0", "28 + k % 80 / 10"), "Perímetro Coxa": ("k > 0", "50 + k % 120 / 10"),
-    "Perímetro Gémeo": ("k > 0", "33 + k % 70 / 10"), **{s: (f"(k + {i}) % 9 <> 0", f"5 + (k * {i + 3}) % 150 / 10") for i, s in enumerate(_SITES)}, "model_value": ("k % 4 = 1", "9 + k % 50 / 10"),
+    "Perímetro Gémeo": ("k > 0", "33 + k % 70 / 10"), **{s: (f"(k + {i}) % 9 <> 0", f"5 + (k * {i + 3}) % 150 / 10") for i, s in enumerate(_SITES)},
 }
-_SHEETS = "sheets AS (SELECT player_id, date, CASE WHEN player_id % 2 = 0 THEN 'M' ELSE 'F' END AS sex, 15 + k % 45 AS age, " + ", ".join(
+_MEASURED = "measured AS (SELECT player_id, date, CASE WHEN player_id % 2 = 0 THEN 'M' ELSE 'F' END AS sex, 15 + k % 45 AS age, " + ", ".join(
     f'''CASE WHEN {has} THEN {value.replace("/ 10", "/ 10.0::DOUBLE")} END::DOUBLE AS "{c}"''' for c, (has, value) in _SHEET.items()
 ) + """ FROM (SELECT c_nationkey AS player_id, max(CAST(o_orderdate AS DATE)) AS date, max(o_orderkey) AS k FROM orders JOIN customer ON o_custkey = c_custkey
   WHERE o_orderpriority = '2-HIGH' GROUP BY c_nationkey, date_trunc('quarter', o_orderdate)))"""
 
 
-def _sheets(spark, d):
+_SED, _ATH = composition.FAT_SEDENTARY, composition.FAT_ATHLETE
+_LEANFAT = """CASE WHEN "Peso" > 0 AND "Massa Magra" > 0 THEN ("Peso" - "Massa Magra") / "Peso" * 100 END"""
+# Each row is left out by joining it to all others of its player.
+_BOARD = f"""known AS (SELECT player_id, date, "{_SED}" AS x, "{_ATH}" AS y, {_LEANFAT} AS bal FROM measured WHERE "{_SED}" IS NOT NULL AND "{_ATH}" IS NOT NULL),
+folds AS (SELECT a.player_id, a.date, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.bal) AS bal, avg(b.x - b.y) AS c, avg(b.y / b.x) FILTER (b.x <> 0) AS k,
+    CASE WHEN count(DISTINCT b.x) > 1 THEN regr_slope(b.y, b.x) END AS s, CASE WHEN count(DISTINCT b.x) > 1 THEN regr_intercept(b.y, b.x) END AS i
+  FROM known a JOIN known b ON a.player_id = b.player_id AND a.date <> b.date GROUP BY 1, 2),
+fits AS (SELECT player_id, count(*) AS n_paired, avg(x - y) AS c, avg(y / x) FILTER (x <> 0) AS k, CASE WHEN count(DISTINCT x) > 1 THEN regr_slope(y, x) END AS s,
+    CASE WHEN count(DISTINCT x) > 1 THEN regr_intercept(y, x) END AS i FROM known GROUP BY 1),
+board AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY loo_mae_pp, n_params, place) AS rank FROM (
+  SELECT player_id, model, any_value(n_params) AS n_params, {_r('avg(e)', 3)} AS loo_mae_pp, {_r('max(e)', 3)} AS loo_max_pp, any_value(n_paired)::BIGINT AS n_paired, any_value(place) AS place FROM (
+    SELECT player_id, m.*, n_paired, abs(y - CASE place WHEN 0 THEN f.x - f.c WHEN 1 THEN f.x * f.k WHEN 2 THEN f.i + f.s * f.x ELSE f.bal END) AS e
+    FROM folds f JOIN fits USING (player_id), (VALUES ('desvio constante', 1, 0), ('rácio constante', 1, 1), ('regressão linear', 2, 2), ('balanço de massa', 0, 3)) m(model, n_params, place))
+  GROUP BY 1, 2 HAVING avg(e) IS NOT NULL AND (any_value(n_params) = 0 OR any_value(n_paired) >= any_value(n_params) + 2)))"""
+_SHEETS = _MEASURED + f""",
+{_BOARD},
+sheets AS (SELECT m.*, CASE b.place WHEN 0 THEN "{_SED}" - f.c WHEN 1 THEN "{_SED}" * f.k WHEN 2 THEN f.i + f.s * "{_SED}" WHEN 3 THEN {_LEANFAT} END AS model_value
+  FROM measured m LEFT JOIN fits f USING (player_id) LEFT JOIN (SELECT * FROM board WHERE rank = 1) b USING (player_id))"""
+
+
+def _measured(spark, d):
     """Wide assessments with all measured columns, one for each player and quarter."""
     day = F.to_date("o_orderdate")
     own = B.table(spark, d, "orders").filter("o_orderpriority = '2-HIGH'").join(B.table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
@@ -42,8 +65,27 @@ def _sheets(spark, d):
     )
 
 
+def _balance():
+    return A.fat_from_lean_mass(F.col("Peso"), F.col("`Massa Magra`"))
+
+
+def _sheets(spark, d):
+    """The assessments with what the best of each player's models says of them."""
+    return models.predicted(_measured(spark, d), E, _SED, _ATH, _balance())
+
+
+@query("SELECT player_id, model, n_params, loo_mae_pp, loo_max_pp, n_paired, rank FROM board", _MEASURED, _BOARD)
+def athlete_models(spark, d):
+    return models.scoreboard(_measured(spark, d), E, _SED, _ATH, _balance()).drop("a", "b")
+
+
+@query("SELECT player_id, model, loo_mae_pp AS mae FROM board WHERE rank = 1", _MEASURED, _BOARD)
+def loo_model_selection(spark, d):
+    best = models.scoreboard(_measured(spark, d), E, _SED, _ATH, _balance()).filter("rank = 1")
+    return best.select("player_id", "model", F.col("loo_mae_pp").alias("mae"))
+
+
 _T, _SUB, _BI, _SUPRA, _AB, _TH, _CA, _IL = (f'"{s}"' for s in _SITES)
-_LEANFAT = """CASE WHEN "Peso" > 0 AND "Massa Magra" > 0 THEN ("Peso" - "Massa Magra") / "Peso" * 100 END"""
 _GAP = f"""gaps AS (SELECT player_id, coalesce(p, i) AS gap, CASE WHEN np > 0 THEN np ELSE ni END AS n, CASE WHEN np > 0 THEN 'printed' WHEN ni > 0 THEN 'lean mass' ELSE '' END AS origin FROM (
   SELECT player_id, avg(sed - ath) AS p, count(sed - ath) AS np, avg(sed - lean) AS i, count(sed - lean) AS ni FROM (
     SELECT player_id, "{composition.FAT_SEDENTARY}" AS sed, "{composition.FAT_ATHLETE}" AS ath, {_LEANFAT} AS lean FROM sheets) GROUP BY 1))"""
@@ -297,3 +339,34 @@ def _ratio_sql(value, name):
   SES, _ratio_sql("CASE WHEN coalesce(accelerations, decelerations) IS NOT NULL THEN coalesce(accelerations, 0) + coalesce(decelerations, 0) END", "mech"), _ratio_sql("total_distance_m", "dist"))
 def two_ratios(spark, d):
     return reports.two_ratios(B.sessions(spark, d), E)
+
+
+# --- colours ------------------------------------------------------------------
+
+
+def _hex(x: str, stops) -> str:
+    """The colour at ``x`` in SQL: a row of stops on each side, channels between them."""
+    part = lambda c, at: int(c[at : at + 2], 16)
+    pieces = []
+    for at in (1, 3, 5):
+        whens = " ".join(
+            f"WHEN v <= {x1} THEN {part(c0, at)} + ({part(c1, at)} - {part(c0, at)}) * ((v - {x0}) / ({x1} - {x0}))" for (x0, c0), (x1, c1) in zip(stops, stops[1:], strict=False)
+        )
+        pieces.append(f"CASE WHEN v <= {stops[0][0]} THEN {part(stops[0][1], at)} {whens} ELSE {part(stops[-1][1], at)} END")
+    shown = " || ".join(f"lpad(upper(to_hex(round_even(({p})::DOUBLE, 0)::BIGINT)), 2, '0')" for p in pieces)
+    return f"CASE WHEN ({x}) IS NULL THEN '#1F1F1F' ELSE (SELECT '#' || {shown} FROM (SELECT ({x})::DOUBLE AS v)) END"
+
+
+_STOPS = ((0.0, "#22B14C"), (5.0, "#22B14C"), (15.0, "#E9C21B"), (25.0, "#EE8A2A"), (35.0, "#D9433F"))
+_RAMP = ((0.0, "#0D366B"), (25.0, "#1C5CAB"), (50.0, "#3987E5"), (75.0, "#86B6EF"), (100.0, "#CDE2FB"))
+_CHANGED = """shares AS (SELECT session_id, total_distance_m / 8208.0::DOUBLE * 100 AS share, (total_distance_m - lag(total_distance_m) OVER (PARTITION BY player_id ORDER BY date, session_id))
+  / nullif(lag(total_distance_m) OVER (PARTITION BY player_id ORDER BY date, session_id), 0) * 100 AS change FROM sessions)"""
+
+
+@query(f"""SELECT session_id, {_hex('abs(change)', _STOPS)} AS change_colour, {_hex('share', _RAMP)} AS demand_colour,
+    CASE WHEN change IS NULL THEN '#1F1F1F' WHEN abs(change) <= 10 THEN '#22B14C' WHEN abs(change) <= 20 THEN '#E9C21B' WHEN abs(change) <= 30 THEN '#EE8A2A' ELSE '#D9433F' END AS change_band FROM shares""", SES, _CHANGED)
+def heat_colours(spark, d):
+    w = Window.partitionBy(*E).orderBy("date", "session_id")
+    before = F.lag("total_distance_m").over(w)
+    rows = B.sessions(spark, d).select("session_id", (F.col("total_distance_m") / 8208.0 * 100).alias("share"), F.when(before != 0, (F.col("total_distance_m") - before) / before * 100).alias("change"))
+    return rows.select("session_id", colours.change_colour(F.col("change")).alias("change_colour"), colours.demand_colour(F.col("share")).alias("demand_colour"), colours.change_band(F.col("change")).alias("change_band"))

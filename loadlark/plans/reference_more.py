@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import anthropometry as A
 from ..functions import text
 from ..functions.numbers import half_even
-from ..operators import asof, body, correlation, models, players, season
+from ..operators import asof, body, correlation, players, reconcile, season
 from ..operators import sessions as S
 from . import bindings as B
 from .reference import BOD, E, MAT, SES, _r, query
@@ -278,18 +279,6 @@ def anthropometry(spark, d):
     return B.assessments(spark, d).filter(f.isNotNull()).select("player_id", "date", *(half_even(c, 6).alias(k) for k, c in found.items()))
 
 
-@query(f"""SELECT player_id, arg_min(model, (mae, n_params, model)) AS model, {_r('min(mae)', 4)} AS mae FROM (
-  SELECT player_id, model, n_params, avg(abs(y - CASE model WHEN 'identity' THEN x WHEN 'offset' THEN (ty - tx) / tn + x WHEN 'ratio' THEN tr / tn * x
-      ELSE (ty - s * tx) / tn + s * x END)) AS mae, max(n) AS n
-  FROM (SELECT *, (tn * txy - tx * ty) / (tn * txx - tx * tx) AS s FROM (SELECT *, count(*) OVER w AS n, count(*) OVER w - 1 AS tn, sum(x) OVER w - x AS tx, sum(y) OVER w - y AS ty,
-    sum(x * x) OVER w - x * x AS txx, sum(x * y) OVER w - x * y AS txy, sum(y / x) OVER w - y / x AS tr
-    FROM (SELECT player_id, "Peso" AS x, "Perímetro Cintura" AS y FROM assessments) WINDOW w AS (PARTITION BY player_id))),
-    (VALUES ('identity', 0), ('offset', 1), ('ratio', 1), ('linear', 2)) m(model, n_params) GROUP BY 1, 2, 3) WHERE n >= n_params + 2 GROUP BY 1""", BOD)
-def loo_model_selection(spark, d):
-    best = models.leave_one_out(B.assessments(spark, d), E, "date", "Peso", "Perímetro Cintura")
-    return best.select("player_id", "model", half_even(F.col("mae"), 4).alias("mae"))
-
-
 # --- correlation ------------------------------------------------------------
 
 
@@ -298,24 +287,43 @@ def _grid(spark, d):
     return correlation.spearman_grid(_long(spark, d), body.to_long(perf, ["player_id", "date"]), E, ["date"])
 
 
-@query(f"""SELECT player_id, metric AS body_metric, load_metric, count(*) AS n, {_r('corr(rx, ry)', 3)} AS rho,
+_GRID = f"""grid AS (SELECT player_id, metric AS body_metric, load_metric, count(*) AS n, corr(rx, ry) AS exact, {_r('corr(rx, ry)', 3)} AS rho,
     CASE WHEN count(*) >= 8 THEN 'reliable' WHEN count(*) >= 6 THEN 'indicative' WHEN count(*) >= 4 THEN 'exploratory' ELSE 'not testable' END AS tier
   FROM (SELECT *, rank() OVER (PARTITION BY player_id, metric, load_metric ORDER BY value) + (count(*) OVER (PARTITION BY player_id, metric, load_metric, value) - 1) / 2.0::DOUBLE AS rx,
       rank() OVER (PARTITION BY player_id, metric, load_metric ORDER BY y) + (count(*) OVER (PARTITION BY player_id, metric, load_metric, y) - 1) / 2.0::DOUBLE AS ry
     FROM long_body b JOIN (UNPIVOT (SELECT player_id, date, total_distance_m_mean, hia_mean FROM looked) ON total_distance_m_mean, hia_mean INTO NAME load_metric VALUE y) p USING (player_id, date))
-  GROUP BY 1, 2, 3 HAVING count(*) >= 4 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0""", SES, BOD, _LOOK)
+  GROUP BY 1, 2, 3 HAVING count(*) >= 4 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0)"""
+# Student's t at a whole number of degrees of freedom is a finite sum; written so, apart from the operator's continued fraction.
+_TESTED = f"""probable AS (SELECT *, {_r('p_exact', 4)} AS p FROM (SELECT *, CASE WHEN abs(exact) >= 1 THEN 0 WHEN n % 2 = 0
+    THEN 1 - abs(exact) * list_sum(list_transform(range(0, n // 2 - 1), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(1 - exact * exact, k)))
+    ELSE 1 - 2 / pi() * (asin(abs(exact)) + abs(exact) * list_sum(list_transform(range(0, (n - 3) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(1 - exact * exact, k + 0.5)))) END AS p_exact FROM grid)),
+tested AS (SELECT player_id, body_metric, load_metric, n, rho, tier, p, {_r('q', 4)} AS q, {_r('q', 4)} < 0.05 AS survives FROM (
+  SELECT *, least(1.0::DOUBLE, min(p * m / r) OVER (PARTITION BY player_id ORDER BY p, body_metric, load_metric ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q
+  FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY p, body_metric, load_metric) AS r, count(*) OVER (PARTITION BY player_id) AS m FROM probable)))"""
+
+
+@query("SELECT player_id, body_metric, load_metric, n, rho, tier FROM grid", SES, BOD, _LOOK, _GRID)
 def spearman_grid(spark, d):
     return _grid(spark, d).drop("rho_exact")
 
 
-@query()
-def spearman_fdr(spark, d):
+def _tested(spark, d):
     return correlation.benjamini_hochberg(correlation.with_p(_grid(spark, d)), E, ["body_metric", "load_metric"]).drop("rho_exact")
 
 
-@query()
+@query("SELECT * FROM tested", SES, BOD, _LOOK, _GRID, _TESTED)
+def spearman_fdr(spark, d):
+    return _tested(spark, d)
+
+
+@query("""SELECT player_id, count(*) AS tested, count(*) FILTER (survives) AS survivors, max(n) AS best_n, max(n) < 8 AS underpowered, count(*) FILTER (survives AND abs(rho) >= 0.5) AS strong,
+    count(*) FILTER (survives AND abs(rho) >= 0.99 AND n < 8) AS suspect_survivors,
+    CASE WHEN count(*) FILTER (survives) = 0 THEN 'Nothing here separates from chance.' ELSE count(*) FILTER (survives) || ' of ' || count(*) || ' pairs survive false-discovery correction.' END AS verdict,
+    arg_min(body_metric, (-abs(rho), body_metric, load_metric)) AS strongest_body_metric, arg_min(load_metric, (-abs(rho), body_metric, load_metric)) AS strongest_load_metric,
+    arg_min(rho, (-abs(rho), body_metric, load_metric)) AS strongest_rho, arg_min(n, (-abs(rho), body_metric, load_metric)) AS strongest_n, arg_min(tier, (-abs(rho), body_metric, load_metric)) AS strongest_tier
+  FROM tested GROUP BY 1""", SES, BOD, _LOOK, _GRID, _TESTED)
 def correlation_findings(spark, d):
-    return correlation.findings(correlation.benjamini_hochberg(correlation.with_p(_grid(spark, d)), E, ["body_metric", "load_metric"]), E)
+    return correlation.findings(_tested(spark, d), E)
 
 
 _PS = "ps AS (SELECT nationkey, body_metric, p FROM (SELECT c_nationkey AS nationkey, c_custkey AS body_metric, (c_custkey % 97 + 1)::DOUBLE / 10000 * (c_nationkey + 1) AS p FROM customer))"
@@ -363,6 +371,35 @@ def parse_label(spark, d):
     return _labels(spark, d).select("match_id", text.parse_label(F.col("label")).alias("p")).select("match_id", "p.*")
 
 
+_RECORDS = """fixture_side AS (SELECT DISTINCT ON (match_id) * FROM (SELECT match_id, DATE '2024-01-01' + (match_id % 365)::INT AS date, opponent, CASE word WHEN 'CASA' THEN 'home' ELSE 'away' END AS venue,
+    CASE word WHEN 'CASA' THEN hg ELSE ag END AS gf, CASE word WHEN 'CASA' THEN ag ELSE hg END AS ga FROM labels_made) ORDER BY match_id, opponent, gf, ga, venue),
+label_side AS (SELECT match_id, date, opponent || CASE WHEN match_id % 13 = 0 THEN ' B' ELSE '' END AS opponent, CASE WHEN (match_id % 7 = 0) = (venue = 'home') THEN 'away' ELSE 'home' END AS venue,
+    CASE WHEN match_id % 23 <> 0 THEN gf + CASE WHEN match_id % 11 = 0 THEN 1 ELSE 0 END END AS gf, CASE WHEN match_id % 23 <> 0 THEN ga END AS ga FROM fixture_side),
+joined AS (SELECT coalesce(l.match_id, f.match_id) AS match_id, coalesce(l.date, f.date) AS date, l.match_id IS NOT NULL AS has_l, f.match_id IS NOT NULL AS has_f, l.opponent AS lo, f.opponent AS fo, l.venue AS lv, f.venue AS fv,
+    l.gf AS lgf, f.gf AS fgf, l.ga AS lga, f.ga AS fga, CASE WHEN l.gf > l.ga THEN 'W' WHEN l.gf < l.ga THEN 'L' WHEN l.gf = l.ga THEN 'D' END AS lr, CASE WHEN f.gf > f.ga THEN 'W' WHEN f.gf < f.ga THEN 'L' WHEN f.gf = f.ga THEN 'D' END AS fr
+  FROM (SELECT * FROM label_side WHERE match_id % 17 <> 0) l FULL JOIN (SELECT * FROM fixture_side WHERE match_id % 19 <> 0) f USING (match_id, date))"""
+
+
+@query("""SELECT match_id, date, CASE WHEN NOT has_f THEN 'label only' WHEN NOT has_l THEN 'fixture only' WHEN lv <> fv OR coalesce(lr <> fr, false) THEN 'contradiction' WHEN coalesce(lgf <> fgf OR lga <> fga, false) THEN 'score'
+    WHEN lo <> fo THEN 'name' WHEN lgf IS NULL THEN 'incomplete' ELSE 'agrees' END AS grade,
+    concat_ws(',', CASE WHEN lo <> fo THEN 'opponent' END, CASE WHEN lv <> fv THEN 'venue' END, CASE WHEN lgf <> fgf THEN 'goals_for' END, CASE WHEN lga <> fga THEN 'goals_against' END, CASE WHEN lr <> fr THEN 'team_result' END) AS fields,
+    lv AS label_venue, fv AS fixture_venue, lr AS label_team_result, fr AS fixture_team_result FROM joined""", MAT, _LABELS, _RECORDS)
+def match_record_check(spark, d):
+    """Labels with planted faults (venue, goals, names, unknown goals, missing records) against the fixtures they were made of."""
+    p = _label_parts(spark, d).withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("match_id") % 365).cast("int")))
+    p = p.withColumn("_n", F.row_number().over(Window.partitionBy("match_id").orderBy("opponent", "gf", "ga", "venue"))).filter("_n = 1")
+    k, gf, ga = F.col("match_id"), F.col("gf"), F.col("ga")
+    other = F.when(F.col("venue") == "home", "away").otherwise("home")
+    made = text.build_label(
+        F.col("competition"), F.col("matchweek_number"), F.concat("opponent", F.when(k % 13 == 0, " B").otherwise("")), F.when(k % 7 == 0, other).otherwise(F.col("venue")),
+        F.when(k % 23 != 0, gf + F.when(k % 11 == 0, 1).otherwise(0)), F.when(k % 23 != 0, ga),
+    )
+    labels = p.filter(k % 17 != 0).select("match_id", "date", made.alias("label")).select("match_id", "date", text.parse_label(F.col("label")).alias("p")).select("match_id", "date", "p.*")
+    result = F.when(gf > ga, "W").when(gf < ga, "L").otherwise("D")
+    fixtures = p.filter(k % 19 != 0).select("match_id", "date", "opponent", "venue", gf.alias("goals_for"), ga.alias("goals_against"), result.alias("team_result"))
+    return reconcile.reconcile(labels, fixtures, ["match_id"]).select("match_id", "date", "grade", "fields", "label_venue", "fixture_venue", "label_team_result", "fixture_team_result")
+
+
 _LINEUP = """lineup AS (SELECT e.user_id AS name, 'm' || (e.event_id % 500)::VARCHAR AS match_url, 't' || (e.user_id % 7)::VARCHAR AS team, CASE WHEN e.event_id % 3 = 0 THEN 'Suplente' ELSE 'Starter' END AS status,
   (e.event_id % 91)::INT AS m, e.event_type FROM events e)"""
 
