@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import phase, season
+from ..functions.numbers import half_even
 from ..functions.text import match_quality
 
 
@@ -51,12 +53,15 @@ def backward(left: DataFrame, right: DataFrame, by: list[str], key: str, left_da
 def windows_between(assessments: DataFrame, sessions: DataFrame, by: list[str], metrics: list[str], loads: list[str], date: str = "date") -> DataFrame:
     """One row for each pair of consecutive assessments, with the sessions after the first up to the second.
 
-    A session belongs to the next assessment on or after it, found by a window
-    over both; the rest is an equi-join. Windows without sessions stay.
+    ``start, end, days``, of each metric ``_start, _end`` and ``_delta``, ``sessions``, and
+    of each load its sum and ``_per_week``. A session belongs to the next assessment on
+    or after it, found by a window over both; the rest is an equi-join. Windows without
+    sessions stay, with sums of 0; a window of no days has no rate.
     """
     w = Window.partitionBy(*by).orderBy(date)
     spans = assessments.select(
-        *by, F.lag(date).over(w).alias("start"), F.col(date).alias("end"), *((F.col(m) - F.lag(m).over(w)).alias(f"{m}_delta") for m in metrics)
+        *by, F.lag(date).over(w).alias("start"), F.col(date).alias("end"),
+        *(x for m in metrics for x in (F.lag(m).over(w).alias(f"{m}_start"), F.col(m).alias(f"{m}_end"), (F.col(m) - F.lag(m).over(w)).alias(f"{m}_delta"))),
     ).filter("start is not null")
     own = sessions.select(*by, F.col(date).alias("_t"), F.lit(0).alias("_k"), *loads)
     marks = assessments.select(*by, F.col(date).alias("_t"), F.lit(1).alias("_k"), *(F.lit(None).cast("double").alias(c) for c in loads))
@@ -66,7 +71,20 @@ def windows_between(assessments: DataFrame, sessions: DataFrame, by: list[str],
     sums = placed.groupBy(*by, "end").agg(F.count("*").alias("sessions"), *(F.sum(c).alias(c) for c in loads))
     days = F.datediff("end", "start")
     joined = spans.join(sums, [*by, "end"], "left").na.fill(0, ["sessions", *loads])
-    return joined.withColumns({"days": days} | {f"{c}_per_week": F.col(c) / days * 7 for c in loads})
+    return joined.withColumns({"days": days} | {f"{c}_per_week": F.when(days > 0, F.col(c) / days * 7) for c in loads})
+
+
+def window_report(windows: DataFrame, metrics: list[str], loads: list[str], distance: str = "total_distance_m", energy: str = "calories") -> DataFrame:
+    """:func:`windows_between` as it is shown: the season and phase of its end, rates a week and a day, rounded values."""
+    end, days = F.col("end"), F.when(F.col("days") > 0, F.col("days"))
+    rates = {"sessions_per_week": half_even(F.col("sessions") / days * 7, 2)}
+    if distance in loads:
+        rates["km_per_week"] = half_even(F.col(distance) / 1000 / days * 7, 1)
+    if energy in loads:
+        rates["football_kcal_per_day"] = half_even(F.col(energy) / days)
+    kept = [c for c in windows.columns if not c.endswith("_per_week")]
+    rounded = {c: half_even(F.col(c), 1) for c in loads} | {f"{m}_delta": half_even(F.col(f"{m}_delta"), 2) for m in metrics}
+    return windows.select(*kept, season(end).alias("season"), phase(end).alias("phase")).withColumns(rates).withColumns(rounded)
 
 
 def lookback_mean(assessments: DataFrame, sessions: DataFrame, by: list[str], loads: list[str], days: int = 28, date: str = "date") -> DataFrame:

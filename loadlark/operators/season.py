@@ -121,9 +121,10 @@ def poisson(mean: Column, u: Column) -> Column:
     return quantile(poisson_steps(mean), u)
 
 
-def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that depends on ``parts`` alone, so on no partitioning."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / float(1 << 53)
+def uniform(*parts: Column | str) -> Column:
+    """A number in [0, 1) of 52 bits that depends on ``parts`` alone, so on no partitioning, by a digest that any engine has."""
+    digest = F.md5(F.concat_ws("|", *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def simulate(played: DataFrame, remaining: DataFrame, n: int = 1000, seed: int = 42, goals_scale: float = 0.5) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from ..functions import colours
 from ..functions.dates import PHASE_ORDER, position
 from ..functions.numbers import half_even
 from ..operators import baselines as P
-from ..operators import body, comparison, composition, load, models, reports, summaries
+from ..operators import asof, body, comparison, composition, load, models, reports, summaries
 from ..operators import sessions as S
 from . import bindings as B
 from .reference import _DAILY, _GREF, _MONO, _OFFICIAL, BOD, E, SES, _r, query
@@ -274,36 +274,56 @@ def games_in_reference(spark, d):
     return reports.games_in_reference(rows, comparison.match_reference(rows, E, list(_CARDS)), E, _CARDS)
 
 
-_COVER = "CASE WHEN session_id % 10 < 7 THEN 'exact' WHEN session_id % 10 = 7 THEN 'near' END"
+# Fixtures are the days of practice matches, each with a venue and a result; an official match takes those of the nearest one within a day.
+_LINKED = """plays AS (SELECT DISTINCT player_id, date AS fixture_date, CASE WHEN day(date) % 2 = 0 THEN 'home' ELSE 'away' END AS venue, CASE day(date) % 3 WHEN 0 THEN 'W' WHEN 1 THEN 'D' ELSE 'L' END AS team_result
+  FROM sessions WHERE match_category = 'practice_match'),
+linked AS (SELECT * FROM (SELECT s.*, g.fixture_date, g.venue, g.team_result, CASE WHEN g.fixture_date IS NULL THEN NULL WHEN g.fixture_date = s.date THEN 'exact' ELSE printf('%+dd', s.date - g.fixture_date) END AS fixture_match,
+    row_number() OVER (PARTITION BY s.session_id ORDER BY abs(s.date - g.fixture_date), g.fixture_date) AS choice
+  FROM official s LEFT JOIN plays g ON g.player_id = s.player_id AND abs(s.date - g.fixture_date) <= 1 WHERE s.match_category = 'official_match') WHERE choice = 1)"""
 
 
-@query(f"SELECT player_id, {_COVER} AS fixture_match, count(*) AS sessions FROM sessions WHERE session_kind = 'game' AND competition_type IN ('Campeonato', 'Taça') GROUP BY 1, 2", SES)
+def _linked(spark, d):
+    rows = B.sessions(spark, d)
+    day = F.col("date")
+    plays = rows.filter("match_category = 'practice_match'").select(
+        "player_id", day.alias("fixture_date"), F.when(F.dayofmonth(day) % 2 == 0, "home").otherwise("away").alias("venue"),
+        F.when(F.dayofmonth(day) % 3 == 0, "W").when(F.dayofmonth(day) % 3 == 1, "D").otherwise("L").alias("team_result"),
+    ).distinct()
+    official = S.per90(S.official_minutes(rows.filter("match_category = 'official_match'")), "official_minutes")
+    return asof.nearest(official, plays, E, "session_id", "date", "fixture_date", ["fixture_date", "venue", "team_result"])
+
+
+@query("SELECT player_id, fixture_match, count(*) AS sessions FROM linked GROUP BY 1, 2", SES, _OFFICIAL, _LINKED)
 def link_coverage(spark, d):
-    return reports.link_coverage(B.sessions(spark, d).withColumn("fixture_match", F.expr(_COVER)), "fixture_match", E)
+    linked = _linked(spark, d).withColumn("fixture_match", F.when(F.col("fixture_date").isNotNull(), F.col("match_quality")))
+    return reports.link_coverage(linked, "fixture_match", E)
 
 
 def _by(column):
     return f"""SELECT player_id, {column}, count(*) AS n, {_r('avg(official_minutes)', 1)} AS mean_minutes, {_r('avg(p90)', 1)} AS total_distance_m_per90_mean FROM (
-  SELECT *, CASE WHEN official_minutes > 0 THEN {_r('total_distance_m / official_minutes * 90', 2)} END AS p90, CASE session_id % 4 WHEN 0 THEN 'W' WHEN 1 THEN 'D' WHEN 2 THEN 'L' END AS team_result,
-    CASE WHEN session_id % 5 < 2 THEN 'home' WHEN session_id % 5 < 4 THEN 'away' END AS venue FROM official) WHERE official_minutes >= 20 AND {column} IS NOT NULL GROUP BY 1, 2"""
-
-
-def _output(spark, d, column):
-    k = F.col("session_id")
-    rows = S.per90(S.official_minutes(B.sessions(spark, d)), "official_minutes").withColumns(
-        {"team_result": F.expr("CASE session_id % 4 WHEN 0 THEN 'W' WHEN 1 THEN 'D' WHEN 2 THEN 'L' END"), "venue": F.when(k % 5 < 2, "home").when(k % 5 < 4, "away")}
-    )
-    return summaries.output_by(rows, E, column, ("total_distance_m",))
+  SELECT *, CASE WHEN official_minutes > 0 THEN {_r('total_distance_m / official_minutes * 90', 2)} END AS p90 FROM linked) WHERE official_minutes >= 20 AND {column} IS NOT NULL GROUP BY 1, 2"""
 
 
-@query(_by("team_result"), SES, _OFFICIAL)
+@query(_by("team_result"), SES, _OFFICIAL, _LINKED)
 def output_by_result(spark, d):
-    return _output(spark, d, "team_result")
+    return summaries.output_by(_linked(spark, d), E, "team_result", ("total_distance_m",))
 
 
-@query(_by("venue"), SES, _OFFICIAL)
+@query(_by("venue"), SES, _OFFICIAL, _LINKED)
 def output_by_venue(spark, d):
-    return _output(spark, d, "venue")
+    return summaries.output_by(_linked(spark, d), E, "venue", ("total_distance_m",))
+
+
+_SHOWN = ("total_distance_m", "high_speed_distance_m", "sprint_distance_m", "accelerations", "decelerations")
+
+
+@query(f"""SELECT player_id, metric, {_r('value', 2)} AS value, baseline, {_r('value - baseline', 2)} AS difference, {_r('(value - baseline) / baseline * 100', 1)} AS difference_pct FROM (
+  SELECT player_id, {', '.join(f"avg({_r(f'{m} / official_minutes * 90', 2)}) AS {m}" for m in _SHOWN)}, max(top_speed_kmh) AS top_speed_kmh FROM official WHERE official_minutes >= 20 AND match_category = 'official_match' GROUP BY 1)
+  UNPIVOT (value FOR metric IN ({', '.join(_SHOWN)}, top_speed_kmh)) JOIN (SELECT metric AS m, baseline FROM base WHERE position = 'wide_midfielder' AND match_category = 'official_match') b ON m = metric""", SES, _OFFICIAL, _BASE)
+def baseline_compare(spark, d):
+    games = S.per90(S.official_minutes(B.sessions(spark, d)), "official_minutes").filter("match_category = 'official_match'")
+    dim = P.baselines(spark, ["wide_midfielder"]).filter("match_category = 'official_match'").select("metric", "baseline")
+    return summaries.against_baseline(games, dim, E, _SHOWN)
 
 
 _DOWN = "ROW_NUMBER() OVER (PARTITION BY player_id ORDER BY date DESC, session_id DESC)"

@@ -331,19 +331,6 @@ def average_minutes(spark, d):
     return summaries.average_minutes(B.sessions(spark, d), E)
 
 
-_BASE = {"total_distance_m": 10627.0, "accelerations": 26.5, "top_speed_kmh": 33.0}
-
-
-@query(f"""SELECT player_id, metric, {_r('value', 2)} AS value, baseline, {_r('value - baseline', 2)} AS difference, {_r('(value - baseline) / baseline * 100', 1)} AS difference_pct FROM (
-  SELECT player_id, avg({_r('total_distance_m / official_minutes * 90', 2)}) AS total_distance_m, avg({_r('accelerations / official_minutes * 90', 2)}) AS accelerations,
-    max(top_speed_kmh) AS top_speed_kmh FROM official WHERE official_minutes >= 20 AND session_kind = 'game' GROUP BY 1)
-  UNPIVOT (value FOR metric IN (total_distance_m, accelerations, top_speed_kmh)) JOIN (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _BASE.items())}) b(m, baseline) ON m = metric""", SES, _OFFICIAL)
-def baseline_compare(spark, d):
-    games = S.per90(S.official_minutes(B.sessions(spark, d)), "official_minutes").filter("session_kind = 'game'")
-    dim = spark.createDataFrame(list(_BASE.items()), "metric string, baseline double")
-    return summaries.against_baseline(games, dim, E, ("total_distance_m", "accelerations"))
-
-
 _QW = summaries.QUALITY_WEIGHTS
 _QUAL = f"""q_means AS (SELECT player_id, season, CASE WHEN session_kind = 'training' THEN 'training' ELSE 'game' END AS part, date_trunc('month', date)::DATE AS month,
     {', '.join(f'avg({m}) AS {m}' for m in _QW)} FROM sessions GROUP BY ALL),

@@ -71,12 +71,52 @@ def expected_goals(spark, d):
     return xg.select("home_team", "away_team", *(half_even(F.col(c), 6).alias(c) for c in ("home_xg", "away_xg")))
 
 
-@query()
+_NUMBERS = ("points", "wins", "draws", "losses", "goals_scored", "goals_conceded", "gd", "played")
+
+
+def _standing(source: str, keys: str = "") -> str:
+    return f"""SELECT {keys} team, 3 * count(*) FILTER (gf > ga) + count(*) FILTER (gf = ga) AS points, count(*) FILTER (gf > ga) AS wins, count(*) FILTER (gf = ga) AS draws, count(*) FILTER (gf < ga) AS losses,
+    sum(gf) AS goals_scored, sum(ga) AS goals_conceded, sum(gf) - sum(ga) AS gd, count(*) AS played FROM (SELECT {keys} home_team AS team, hg AS gf, ag AS ga FROM {source}
+    UNION ALL SELECT {keys} away_team, ag, hg FROM {source}) GROUP BY {keys} team"""
+
+
+def _draw(side: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', 42, sim, mw, home_team, away_team, '{side}')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+# The season drawn a thousand times: a side's goals are how many of its distribution's values lie below the draw.
+_SIMULATED = f"""once AS (SELECT *, row_number() OVER (PARTITION BY played, mw, least(home_team, away_team), greatest(home_team, away_team) ORDER BY home_team) AS r FROM rawfix),
+was AS (SELECT mw, home_team, away_team, hg, ag FROM once WHERE played AND r = 1), left_over AS (SELECT mw, home_team, away_team FROM once WHERE NOT played AND r = 1),
+psides AS (SELECT home_team AS team, hg AS gf, ag AS ga FROM was UNION ALL SELECT away_team, ag, hg FROM was),
+p{_STRENGTH.replace('FROM sides', 'FROM psides')},
+sided AS (SELECT mw, home_team, away_team, unnest([{{'side': 'h', 'm': coalesce(h.attack, 1) / coalesce(a.defense, 1) * (mean * 0.5::DOUBLE) * 1.15::DOUBLE}}, {{'side': 'a', 'm': coalesce(a.attack, 1) / coalesce(h.defense, 1) * (mean * 0.5::DOUBLE)}}], recursive := true)
+  FROM left_over LEFT JOIN pstrength h ON h.team = home_team LEFT JOIN pstrength a ON a.team = away_team, (SELECT max(mean_goals) AS mean FROM pstrength)),
+steps AS (SELECT mw, home_team, away_team, side, list(c ORDER BY i) AS cdf FROM (SELECT *, sum(exp(i * ln(m) - m - lgamma(i + 1))) OVER (PARTITION BY mw, home_team, away_team, side ORDER BY i) AS c
+  FROM (SELECT *, unnest(range(0, floor(m + sqrt(m) * 10 + 24)::BIGINT + 1)) AS i FROM sided)) GROUP BY ALL),
+sims AS (SELECT unnest(range(1000)) AS sim),
+drawn AS (SELECT sim, f.mw, f.home_team, f.away_team, len(list_filter(h.cdf, lambda c: c < uh)) AS hg, len(list_filter(a.cdf, lambda c: c < ua)) AS ag
+  FROM (SELECT *, {_draw('h')} AS uh, {_draw('a')} AS ua FROM left_over, sims) f JOIN steps h ON h.side = 'h' AND h.mw = f.mw AND h.home_team = f.home_team AND h.away_team = f.away_team
+  JOIN steps a ON a.side = 'a' AND a.mw = f.mw AND a.home_team = f.home_team AND a.away_team = f.away_team),
+now AS ({_standing('was')}), later AS ({_standing('drawn', 'sim,')}),
+final AS (SELECT sim, team, {', '.join(f'sum({c}) AS {c}' for c in _NUMBERS)} FROM (SELECT sim, now.* FROM now, sims UNION ALL SELECT sim, team, {', '.join(_NUMBERS)} FROM later) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY points DESC, gd DESC, team) AS position, count(*) OVER (PARTITION BY sim) AS n_teams FROM final)"""
+
+
+@query(f"""SELECT team, {', '.join(f"{_r(f'avg({c}::BIGINT)', 2)} AS mean_{c}" for c in _NUMBERS)}, {_r('avg(position)', 2)} AS mean_position, {_r('count(*) FILTER (position = 1) * 100.0::DOUBLE / count(*)', 1)} AS title_pct,
+    {_r('count(*) FILTER (position <= 3) * 100.0::DOUBLE / count(*)', 1)} AS top3_pct, {_r('count(*) FILTER (position > n_teams - 3) * 100.0::DOUBLE / count(*)', 1)} AS bottom3_pct, max(n_teams) AS n_teams FROM placed GROUP BY 1""",
+    MAT, _RAWFIX, _SIMULATED)
 def simulate_season(spark, d):
     played, remaining = season.split_fixtures(_raw_fixtures(spark, d))
     return season.simulate(played, remaining)[0]
 
 
+@query("SELECT team, position, count(*) AS times FROM placed GROUP BY 1, 2", MAT, _RAWFIX, _SIMULATED)
+def simulated_positions(spark, d):
+    """How often each team ends in each place."""
+    played, remaining = season.split_fixtures(_raw_fixtures(spark, d))
+    return season.simulate(played, remaining)[1]
+
+
 @query("SELECT count(DISTINCT team) AS teams, (SELECT count(*) FROM matches) AS matches, (SELECT count(*) FROM matches) = count(DISTINCT team) * (count(DISTINCT team) - 1) AS complete FROM sides", MAT, _SIDES)
 def season_complete(spark, d):
     return season.is_complete(B.matches(spark, d))
@@ -116,7 +156,21 @@ _SPANS = """spans AS (SELECT player_id, lag(date) OVER w AS start, date AS "end"
   FROM spans p LEFT JOIN sessions s ON s.player_id = p.player_id AND s.date > p.start AND s.date <= p."end" WHERE p.start IS NOT NULL GROUP BY p.player_id, p.start, p."end" """, SES, BOD, _SPANS)
 def interval_windows(spark, d):
     found = asof.windows_between(B.assessments(spark, d), B.sessions(spark, d), E, ["Peso"], ["total_distance_m"])
-    return found.withColumns({c: half_even(F.col(c), 4) for c in ("Peso_delta", "total_distance_m_per_week")})
+    return found.drop("Peso_start", "Peso_end").withColumns({c: half_even(F.col(c), 4) for c in ("Peso_delta", "total_distance_m_per_week")})
+
+
+@query(f"""SELECT p.player_id, p.start, p."end", "Peso_start", "Peso_end", {_r('"Peso_end" - "Peso_start"', 2)} AS "Peso_delta", "Altura_start", "Altura_end", {_r('"Altura_end" - "Altura_start"', 2)} AS "Altura_delta",
+    count(s.session_id) AS sessions, coalesce(sum(total_distance_m), 0) AS total_distance_m, coalesce(sum(calories), 0) AS calories, p."end" - p.start AS days,
+    CASE WHEN month(p."end") >= 7 THEN year(p."end")::VARCHAR || '/' || lpad(((year(p."end") + 1) % 100)::VARCHAR, 2, '0') ELSE (year(p."end") - 1)::VARCHAR || '/' || lpad((year(p."end") % 100)::VARCHAR, 2, '0') END AS season,
+    CASE WHEN month(p."end") = 7 THEN 'fora de época' WHEN month(p."end") = 8 THEN 'pré-época' WHEN month(p."end") >= 9 THEN '1ª volta' WHEN month(p."end") <= 5 THEN '2ª volta' ELSE 'final de época' END AS phase,
+    {_r('count(s.session_id) / (p."end" - p.start) * 7', 2)} AS sessions_per_week, {_r('coalesce(sum(total_distance_m), 0) / 1000 / (p."end" - p.start) * 7', 1)} AS km_per_week,
+    {_r('coalesce(sum(calories), 0) / (p."end" - p.start)')} AS football_kcal_per_day
+  FROM (SELECT player_id, lag(date) OVER w AS start, date AS "end", lag("Peso") OVER w AS "Peso_start", "Peso" AS "Peso_end", lag("Altura") OVER w AS "Altura_start", "Altura" AS "Altura_end" FROM assessments
+    WINDOW w AS (PARTITION BY player_id ORDER BY date)) p LEFT JOIN sessions s ON s.player_id = p.player_id AND s.date > p.start AND s.date <= p."end" WHERE p.start IS NOT NULL
+  GROUP BY p.player_id, p.start, p."end", "Peso_start", "Peso_end", "Altura_start", "Altura_end" """, SES, BOD)
+def assessment_windows(spark, d):
+    metrics, loads = ["Peso", "Altura"], ["total_distance_m", "calories"]
+    return asof.window_report(asof.windows_between(B.assessments(spark, d), B.sessions(spark, d), E, metrics, loads), metrics, loads)
 
 
 _LOOK = """looked AS (SELECT a.player_id, a.date, count(s.session_id) AS sessions_in_window, avg(s.total_distance_m) AS total_distance_m_mean, avg(s.hia) AS hia_mean
