@@ -41,3 +41,18 @@ def position(c: Column, order: tuple[str, ...]) -> Column:
 
 def day_number(d: Column) -> Column:
     return F.unix_date(d)
+
+
+def month_label(d: Column) -> Column:
+    """``Jan 2025``."""
+    return F.date_format(d, "MMM yyyy")
+
+
+def day_label(d: Column) -> Column:
+    """``05 Jan 2025``."""
+    return F.date_format(d, "dd MMM yyyy")
+
+
+def month_key(d: Column) -> Column:
+    """``2025-01``; sorts as text in time order."""
+    return F.date_format(d, "yyyy-MM")

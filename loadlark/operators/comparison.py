@@ -91,3 +91,8 @@ def weekly_change(labelled: DataFrame, entity: list[str], metrics: list[str], ke
         (F.col("_same").isNull() & F.col("_fall").isNotNull()).alias("fallback"),
         *(c for m in metrics for c in (F.col(m), F.col(f"_base.{m}").alias(f"{m}_base"), pct_change(F.col(m), F.col(f"_base.{m}")).alias(f"{m}_pct"))),
     )
+
+
+def shown(changes: DataFrame, selection: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``changes`` whose session is in a view's ``selection``; what a selection holds twice counts once."""
+    return changes.join(selection.select(*keys), keys, "left_semi")
