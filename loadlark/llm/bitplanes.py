@@ -14,8 +14,11 @@ a zstandard frame. Layout, all numbers little-endian::
 A document is found by the table's running total of tokens, which names its
 chunks; only these are read.
 
-Tasks write to a name of their own and rename it, so that a task that is run
-again replaces what it wrote with the same bytes.
+A file ends with the document that brings it to ``FILE_IDS`` ids or ``FILE_DOCS``
+documents, so neither a file nor what a task keeps of it grows with the corpus. Its
+name holds the task's attempt, and only the files that a finished task returned are
+listed: what an attempt that was lost or late leaves behind is never read, and never
+replaces a file that is.
 
 Defined cases: a null or empty text has the end id alone; a null id sorts first;
 repeated ids stand next to each other, by checksum of their texts; an empty table
@@ -27,7 +30,9 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,9 @@ from .common import durable, shared_dir
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 PLANES = 4
+FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
+#: Documents in one batch of those that are read.
+READ_AT_ONCE = 1 << 14
 _CHUNK = struct.Struct(f"<QI{PLANES}I")
 _TRAILER = struct.Struct("<QQQ8s")
 
@@ -59,7 +67,7 @@ class Writer:
 
     def __init__(self, out, level: int = 1):
         self.out, self.zip = out, zstandard.ZstdCompressor(level=level)
-        self.at, self.chunks, self.ids, self.counts, self.buffer = 0, [], [], [], bytearray()
+        self.at, self.n_ids, self.chunks, self.ids, self.counts, self.buffer = 0, 0, [], [], array("q"), bytearray()
         self._write(MAGIC)
 
     def _write(self, data: bytes) -> None:
@@ -76,6 +84,7 @@ class Writer:
     def add(self, doc_id: int | None, raw: bytes) -> None:
         self.ids.append(doc_id)
         self.counts.append(len(raw) // 4)
+        self.n_ids += len(raw) // 4
         self.buffer += raw
         while len(self.buffer) >= 4 * BLOCK:
             self._chunk(bytes(self.buffer[: 4 * BLOCK]))
@@ -142,7 +151,7 @@ class Reader:
             held = held[n:]
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> DataFrame:
+def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the files and returns their list: ``path, first_id, n_docs, n_tokens``; runs once, at once."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"))
     # ranges of both columns: the rows of one id, or of none, may fill several files
@@ -151,23 +160,29 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> DataFrame
     def written(batches):
         tail = np.array([end_id], "<u4").tobytes()
         fs, top = place(folder)
-        name = f"{top}/part-{TaskContext.get().partitionId():06d}.idp"
-        own = f"{top}/_{TaskContext.get().taskAttemptId()}.tmp"
-        writer, first = None, None
+        task = TaskContext.get()
+        own = f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId():010d}"
+        writer, number = None, 0
+
+        def closed():
+            writer.close()
+            out.close()
+            row = {"path": [name], "first_id": pa.array([first], pa.int64()), "n_docs": [len(writer.ids)], "n_tokens": [writer.n_ids]}
+            return pa.RecordBatch.from_pydict(row)
+
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), tokens.encoded(b.column(1), path), strict=True):
                 if writer is None:
                     fs.create_dir(top, recursive=True)
-                    out = fs.open_output_stream(own, compression=None)
-                    writer, first = Writer(out), doc
+                    name, first = f"{own}-{number:06d}.idp", doc
+                    out = fs.open_output_stream(name, compression=None)
+                    writer, number = Writer(out), number + 1
                 writer.add(doc, raw + tail)
+                if writer.n_ids >= file_ids or len(writer.ids) >= FILE_DOCS:
+                    yield closed()
+                    writer = None
         if writer:
-            writer.close()
-            out.close()
-            fs.move(own, name)
-            yield pa.RecordBatch.from_pydict(
-                {"path": [name], "first_id": pa.array([first], pa.int64()), "n_docs": [len(writer.ids)], "n_tokens": [int(sum(writer.counts))]}
-            )
+            yield closed()
 
     return durable(ordered.mapInArrow(written, "path string, first_id long, n_docs long, n_tokens long"))
 
@@ -183,13 +198,17 @@ def read(files: DataFrame, folder: str) -> DataFrame:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(name) as source:
                     r = Reader(source)
-                    crc = np.fromiter((zlib.crc32(x.tobytes()) for x in r.documents()), np.int64, len(r.counts))
-                    n = r.counts.astype(np.int64)
-                    starts = start + np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(r.doc_ids.astype(np.int64), mask=~r.present), pa.array(starts.astype(np.int64)), pa.array(n), pa.array(crc)],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
+                    found = r.documents()
+                    for i in range(0, len(r.counts), READ_AT_ONCE):
+                        part = slice(i, i + READ_AT_ONCE)
+                        n = r.counts[part].astype(np.int64)
+                        crc = np.fromiter((zlib.crc32(x.tobytes()) for x in islice(found, len(n))), np.int64, len(n))
+                        starts = start + np.concatenate([[0], np.cumsum(n)[:-1]])
+                        start += int(n.sum())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(r.doc_ids[part].astype(np.int64), mask=~r.present[part]), pa.array(starts.astype(np.int64)), pa.array(n), pa.array(crc)],
+                            ["doc_id", "start", "n_tokens", "ids_crc32"],
+                        )
 
     # a task a file: a list of paths is so short that adaptive execution would merge all of them if no number were given
     return placed.repartition(max(1, files.count())).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")

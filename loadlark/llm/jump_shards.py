@@ -5,7 +5,8 @@ key drives a linear congruential generator whose draws give the shard counts at
 which the document would move; the last one below the count is its shard. One
 more shard takes the rows that move into it, and no row moves elsewhere. There
 is no ring and no table, all of it is an expression; the slot within a shard is
-numbered in buckets, so that no shard passes through one task.
+numbered in buckets by id and text, so that neither a shard nor the rows of one
+repeated or missing id pass through one task; rows that are equal in both do.
 
 Defined cases: a null text has size 1 and checksum 0; a null id hashes as the
 empty string; repeated rows share a shard and get slots of their own; other
@@ -68,7 +69,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("_at.shard").alias("shard"),
         F.col("_at.grown").alias("grown_shard"), "_lo",
     )
-    return numbered(flat, ["shard"], ["doc_id", "text_crc32", "size"], "slot", F.col("_lo")).select(
+    return numbered(flat, ["shard"], ["doc_id", "text_crc32", "size"], "slot", F.col("_lo") + F.col("text_crc32")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
 
@@ -96,7 +97,7 @@ walk AS (
 ),
 ended AS (SELECT r, CAST(max(CASE WHEN j < 16 THEN j END) AS INT) AS shard, CAST(max(CASE WHEN j < 17 THEN j END) AS INT) AS grown_shard FROM walk GROUP BY r)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY lo % greatest(1, floor(sqrt((SELECT count(*) FROM documents)))::BIGINT),
+  row_number() OVER (PARTITION BY shard ORDER BY (lo + text_crc32) % greatest(1, floor(sqrt((SELECT count(*) FROM documents)))::BIGINT),
     doc_id, text_crc32, size) - 1 AS slot, grown_shard
 FROM d JOIN ended USING (r)
 """

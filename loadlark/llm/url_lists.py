@@ -13,6 +13,12 @@ broadcasts them if they are small. Before the join only captures' distinct
 (host, day of fetch) count, so a host that a third of all captures share meets
 its intervals once a day, not once a capture.
 
+A parent such as ``com`` is a key of very many hosts. Keys are counted first, with
+partial counts in each task; those of more than ``hot`` hosts and days, and of more
+than a hundred thousandth of all, are at most 100,000, so they may be broadcast. Where
+the lists don't hold such a key its rows end there, before the shuffle; where they do,
+its rows are dealt by host to as many places as it needs, each with the key's intervals.
+
 Defined cases: a null or unparsable URL or a null fetch time matches nothing
 (``decision`` ``keep``); a null or empty host or a null date in an entry is ignored; several
 entries of one list, host and date count as one, and an add wins; repeated
@@ -24,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import durable
+
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -58,14 +66,28 @@ def intervals(entries: DataFrame) -> DataFrame:
     return at.withColumn("until", F.lead("since").over(following)).filter("added").drop("added")
 
 
-def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def decide(captures: DataFrame, entries: DataFrame, hot: int = 1_000_000) -> DataFrame:
     """``page_id, host, fetched, decision, list, matched, since`` of ``captures(page_id, url, fetched)``."""
     seen = captures.select("page_id", host_of(F.col("url")).alias("host"), F.to_date("fetched").alias("fetched"))
-    distinct = seen.filter("host is not null and fetched is not null").select("host", "fetched").distinct()
+    distinct = durable(seen.filter("host is not null and fetched is not null").select("host", "fetched").distinct())
     keyed = distinct.select("host", "fetched", F.explode(keys_of(F.col("host"))).alias("k")).select(
         "host", "fetched", "k.key", "k.labels"
     )
-    hit = keyed.join(intervals(entries), "key").filter("since <= fetched and (until is null or fetched < until)")
+    valid = intervals(entries)
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    least = max(hot, (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // 100_000)
+    listed = valid.select("key").distinct().withColumn("listed", F.lit(True))
+    common = durable(
+        counts.filter(F.col("n") > least).join(listed, "key", "left")
+        .select("key", F.coalesce("listed", F.lit(False)).alias("listed"), F.ceil(F.col("n") / least).cast("int").alias("places"))
+    )  # 100,000 keys at most
+    places = F.coalesce("places", F.lit(1))
+    dealt = (
+        keyed.join(F.broadcast(common), "key", "left").filter(F.coalesce("listed", F.lit(True)))
+        .select("host", "fetched", "key", "labels", F.pmod(F.xxhash64("host", "fetched"), places).cast("int").alias("place"))
+    )
+    everywhere = valid.join(F.broadcast(common), "key", "left").withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).drop("listed", "places")
+    hit = dealt.join(everywhere, ["key", "place"]).filter("since <= fetched and (until is null or fetched < until)")
     # the most specific key, then allow before block, then the list's name
     best = hit.groupBy("host", "fetched").agg(
         F.min(F.struct((-F.col("labels")).alias("l"), "verdict", "list", "key", "since")).alias("b")

@@ -342,6 +342,21 @@ def test_token_files_of_a_hot_id(spark):
         at += len(raw) // 4
 
 
+def test_token_files_end_at_a_number_of_ids(spark, texts):
+    """A task writes several files, none of them larger than its bound and one document; order and places hold across them."""
+    path, folder = tokens.default_path("word_bpe_49k.json"), f"{bitplanes.shared_dir(spark)}/rolled"
+    docs = spark.createDataFrame([(*r, 1) for r in texts], DOCS + ", n_tokens int").repartition(2)
+    files = bitplanes.write(docs, path, folder, file_ids=2000)
+    listed = sorted(files.collect(), key=lambda r: r["path"])
+    most = max(len(tokens.Encoder(path).whole(t or "")) // 4 + 1 for _, t in texts)
+    assert len(listed) > 5 and all(r["n_tokens"] < 2000 + most for r in listed)
+    fs, top = bitplanes.place(folder)
+    with fs.open_output_stream(f"{top}/part-000000-9999999999-000000.idp") as out:  # what a late attempt leaves
+        out.write(b"half a fi")
+    got = sorted((tuple(r) for r in bitplanes.read(files, folder).collect()), key=lambda r: r[1])
+    assert got == sorted((tuple(r) for r in bitplanes.round_trip(docs, path).collect()), key=lambda r: r[1]) and len(got) == len(texts)
+
+
 def test_plane_file_of_many_chunks(tmp_path):
     rng, name = np.random.default_rng(2), str(tmp_path / "f.idp")
     docs = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (0, 5, 200_000, 1, 65_536)]
@@ -378,6 +393,16 @@ def test_shards(spark):
     assert jump_shards.shard(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_by_their_texts(spark):
+    rows = [(7, f"t{i}") for i in range(900)] + [(None, f"n{i}") for i in range(900)]
+    got = jump_shards.shard(spark.createDataFrame(rows, DOCS)).collect()
+    for i in (7, None):
+        slots = sorted(r["slot"] for r in got if r["doc_id"] == i)
+        assert len(set(slots)) == 900 and len({r["shard"] for r in got if r["doc_id"] == i}) == 1
+    lo = int(hashlib.md5(b"7").hexdigest()[8:16], 16)
+    assert len({(lo + zlib.crc32(t.encode())) % int(1800**0.5) for _, t in rows[:900]}) > 30  # buckets that the rows of one id fall into
+
+
 def test_numbers_are_gapless(spark):
     df = spark.range(1000).withColumn("k", F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 3))
     rows = numbered(df, ["k"], ["id"], "n").collect()
@@ -406,6 +431,32 @@ def test_url_entries_are_normal_hosts_of_any_length(spark):
     assert [got[i] for i in range(9)] == ["bad.com", "bad.com", "worse.org", "worse.org", "zip", "zip", None, None, None]
 
 
+def test_common_keys_are_dealt_and_unlisted_ones_end_early(spark):
+    """Every key above two hosts counts as common: the same decisions as without, and as plain Python's."""
+    rng = random.Random(9)
+    hosts = [f"{rng.choice('abc')}{rng.randint(0, 9)}.{rng.choice(['x', 'y', 'shop.z'])}.{rng.choice(['com', 'org', 'zip'])}" for _ in range(150)]
+    day = lambda: date(2024, rng.randint(1, 6), 1)
+    e = [(rng.choice(["l1", "l2"]), rng.choice(["block", "allow"]), h, day(), rng.random() < 0.7) for h in ["com", "zip", "x.com", "y.org", "shop.z.com", "z.zip", *hosts[:20]] for _ in range(2)]
+    c = [(i, f"https://{rng.choice(hosts)}/p", day()) for i in range(800)]
+    entries = spark.createDataFrame(e, "list string, verdict string, host string, day date, added boolean")
+    captures = spark.createDataFrame(c, "page_id long, url string, fetched date")
+    got = {r["page_id"]: tuple(r)[3:] for r in url_lists.decide(captures, entries, hot=2).collect()}
+    assert got == {r["page_id"]: tuple(r)[3:] for r in url_lists.decide(captures, entries).collect()}
+    adds = {}
+    for name, verdict, host, since, added in e:
+        adds[name, verdict, host, since] = adds.get((name, verdict, host, since), False) or added
+    for i, url, fetched in c:
+        labels, found = url[8:-2].split("."), []
+        for k in range(len(labels)):
+            key = ".".join(labels[k:])
+            for name, verdict in {(n, v) for n, v, h, _ in adds if h == key}:
+                last = max((s for n, v, h, s in adds if (n, v, h) == (name, verdict, key) and s <= fetched), default=None)
+                if last and adds[name, verdict, key, last]:
+                    found.append((k, verdict, name, key, last))
+        best = min(found, default=None)
+        assert got[i] == (("drop" if best[1] == "block" else "keep", *best[2:]) if best else ("keep", None, None, None))
+
+
 def test_word_hashes_tell_words_apart():
     data, off = np.frombuffer(b"ab cab ab", np.uint8), np.array([0, 5, 9])
     s, e, first = A.word_bounds(data, off, A.NOT_SPACE)
