@@ -262,15 +262,29 @@ def with_spans(docs: DataFrame, model: Model, name: str = "spans") -> DataFrame:
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov`` of ``docs(doc_id, text)``."""
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov, base_ratios`` of ``docs(doc_id, text)``.
+
+    ``base_ratios`` has, in the order of the spans, ``kind:start:end:ratio`` of each base
+    span: what the two models say of it (of the value alone where it is assigned, and
+    without dots, which they don't know), though a base span stays whatever they say. Above the model's cut they alone would report it;
+    a value of one character has no ratio.
+    """
     short = lambda s: F.struct(s["start"], s["kind_no"], s["kind"], s["end"])
+    table = model.table()
+
+    def rated(s: Column) -> Column:
+        value = F.translate(F.when(s["kind"] == KINDS[0], F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"]), ".", "")
+        said = let(value, lambda v: F.when(F.length(v) > 1, F.format_number(score(v, table), 2)))
+        return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), said)
+
     found = with_spans(docs.select("doc_id", "text"), model, "s")
-    found = found.select("doc_id", F.transform("s", short).alias("s"))
+    ordered = F.array_sort(F.filter("s", lambda x: x["kind_no"] < 3), lambda x, y: F.when((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["kind_no"] < y["kind_no"])), -1).otherwise(1))
+    found = found.select("doc_id", F.transform("s", short).alias("s"), F.array_join(F.transform(ordered, rated), ",").alias("base_ratios"))
     count = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id", *map(count, KINDS[:3]),
         F.sha2(digest(F.filter("s", lambda x: x["kind_no"] < 3)), 256).alias("base_sha256"),
-        digest(F.col("s")).alias("spans"), count("markov"),
+        digest(F.col("s")).alias("spans"), count("markov"), "base_ratios",
     )
 
 

@@ -200,6 +200,45 @@ def test_quality(spark):
     assert quality_llr.judge(docs.limit(0), quality_llr.fit(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_quality_scores_equal_brute_force(spark):
+    """Counts, ratios, cut, score and verdict by plain Python over the same hashes; clashing columns and a very long text."""
+    import struct
+
+    import xxhash
+
+    rng = random.Random(16)
+    rows = [(i, prose(rng, rng.randint(45, 90))) for i in range(80)] + [(90, " ".join(prose(rng, 3) + "***" for _ in range(40))), (91, prose(rng, 60_000)), (92, None), (93, "a b")]
+    quality = {i: int(i < 50) for i in range(70)}
+    docs = spark.createDataFrame([(*r, 1, 2.0, True) for r in rows], DOCS + ", n_words int, score double, kept boolean")
+    how = quality_llr.Fit(buckets=64)
+    got = {r["doc_id"]: r for r in quality_llr.judge(docs, quality_llr.fit(docs, spark.createDataFrame(list(quality.items()), "doc_id long, quality int"), how)).collect()}
+
+    def h(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    words = {i: [w.encode() for w in re.findall(r"[^ \t-\r]+", t or "")] for i, t in rows}
+    grams = {i: [h(x) % 64 for x in w] + [h(a, b) % 64 + 64 for a, b in zip(w, w[1:], strict=False)] for i, w in words.items()}
+    held = {i for i, q in quality.items() if q and h(struct.pack("<q", i), struct.pack("<i", 1)) % 5 == 0}
+    n, t = Counter(), Counter()
+    for i, g in grams.items():
+        n.update(g)
+        if quality.get(i) and i not in held:
+            t.update(g)
+    ratio = []
+    for part in (range(64), range(64, 128)):
+        all_n, all_t = sum(n[b] for b in part), sum(t[b] for b in part)
+        ratio += [round(math.log((t[b] + 1) / (all_t + 64) / ((n[b] + 1) / (all_n + 64))), 3) for b in part]
+    score = {i: sum(ratio[b] for b in g) / len(g) if g else 0.0 for i, g in grams.items()}
+    cut = round(float(np.percentile([score[i] for i in held if len(words[i]) >= 50], how.rejected * 100)) - how.slack, 6)
+    assert len(held) > 3 and set(got) == set(score)
+    for i, r in got.items():
+        assert abs(r["score"] - score[i]) < 1e-9, i
+        assert r["kept"] == (not r["base_failed"] and score[i] >= cut), i
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 60) + (" you idiot scum " if i % 5 == 0 else " ") + prose(rng, 10)) for i in range(600)]

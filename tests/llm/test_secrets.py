@@ -108,3 +108,30 @@ def test_redaction_keeps_columns_of_any_name(spark, model):
     row = secrets_markov.redact(docs, model).first()
     assert row.asDict() == {"doc_id": 1, "text": "x [SECRET] y", "_secret_spans": "mine", "spans": "own"}
     assert secrets_markov.redact(docs.select(F.lit(1).alias("doc_id"), F.lit(None).cast("string").alias("text")), model).first()["text"] is None
+
+
+def test_each_base_span_has_the_ratio_of_the_models(spark, model):
+    """The ratio, transition by transition, of the assigned value or the whole span; random values lie above the cut, names below."""
+    rng = random.Random(3)
+    random_hex = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f"x token={random_hex}, AKIA{'QX7ZJ2KV9WLM4T8R'} y", "password: therein_under_thereof", "api_key=" + "a" * 10, "", None]
+    rows = secrets_markov.scan(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect()
+    alphabet, size = secrets_markov.ALPHABET, secrets_markov.SIZE
+
+    def mean(value):
+        at = [alphabet.index(c) for c in value]
+        ratios = [round(model.ratio[a * size + b], 3) for a, b in zip(at, at[1:], strict=False)]
+        windows = [sum(ratios[i : i + secrets_markov.LEAST - 1]) / (secrets_markov.LEAST - 1) for i in range(len(ratios) - secrets_markov.LEAST + 2)]
+        return max([sum(ratios) / len(ratios), *windows])
+
+    seen = {}
+    for r, t in zip(rows, texts, strict=True):
+        for x in r["base_ratios"].split(","):
+            if x:
+                kind, a, z, ratio = x.split(":")
+                value = t[int(a) : int(z)]
+                value = re.search("[:=] ?(.+)", value)[1] if kind == "assign" else value
+                assert abs(float(ratio) - mean(value)) < 0.011, (x, mean(value))
+                seen[kind, value[:5]] = float(ratio)
+        assert [x.rpartition(":")[0] for x in r["base_ratios"].split(",") if x] == [x for x in r["spans"].split(",") if x and not x.startswith("markov")]
+    assert min(v for (k, x), v in seen.items() if x in (random_hex[:5], "AKIAQ")) > model.cut > seen["assign", "there"]
