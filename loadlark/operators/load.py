@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
+import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.classes import CATEGORIES, acwr_zone
 from ..functions.dates import week_start
@@ -90,24 +88,38 @@ def _rated(weekly: DataFrame, w, chronic: Column, value: Column, history: int) -
     ).withColumn("acwr_zone", F.when(F.col("partial"), "Partial week").otherwise(acwr_zone(F.col("acwr"))))
 
 
+#: Days of a block; its weights stay far from the ends of what a double can hold.
+BLOCK_DAYS = 128
+
+
 def ewma(daily: DataFrame, entity: list[str], spans: dict[str, int]) -> DataFrame:
     """Exponential means of the daily load, one column for each span; the first day starts them.
 
-    A recurrence, so an entity's days meet in one group, of dates and numbers
-    only; each group is one pass over arrays.
+    The recurrence is a weighted sum of all days before. In blocks of days it is a
+    running sum, each day's weight taken relative to its block's start; what comes before
+    a block is the sum of the ends of earlier blocks, whose weights fall so fast that
+    those beyond 1e-20 are left out, a fixed number of lags. ``daily`` has a row for each
+    day; no entity's days are held at once.
     """
-    rates = {name: 2.0 / (span + 1) for name, span in spans.items()}
-
-    def fold(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("date")
-        load = days["load"].to_numpy(float)
-        for name, a in rates.items():
-            days[name] = list(accumulate(load, lambda mean, x, a=a: mean * (1 - a) + x * a))
-        return days
-
-    kept = daily.select(*entity, "date", "load")
-    schema = T.StructType([*kept.schema.fields, *(T.StructField(name, T.DoubleType()) for name in rates)])
-    return kept.groupBy(*entity).applyInPandas(fold, schema)
+    order = Window.partitionBy(*entity).orderBy("date")
+    days = daily.select(*entity, "date", "load").withColumn("_number", F.row_number().over(order) - 1)
+    days = days.withColumns({"_block": F.floor(F.col("_number") / BLOCK_DAYS), "_place": (F.col("_number") % BLOCK_DAYS).cast("double")})
+    within = Window.partitionBy(*entity, "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    keep = {name: 1 - 2.0 / (span + 1) for name, span in spans.items()}
+    share = lambda k: F.when(F.col("_number") == 0, 1.0).otherwise(1 - k)  # noqa: E731  the first day has all of its own weight
+    own = days.withColumns({f"_own_{n}": F.sum(F.col("load") * share(k) * F.pow(F.lit(k), -F.col("_place"))).over(within) * F.pow(F.lit(k), F.col("_place")) for n, k in keep.items()})
+    ends = own.filter(F.col("_place") == BLOCK_DAYS - 1)
+    blocks = Window.partitionBy(*entity).orderBy("_block")
+    carried = {}
+    for n, k in keep.items():
+        fade = k**BLOCK_DAYS
+        lags = max(1, math.ceil(math.log(1e-20) / math.log(fade)))
+        carried[f"_carried_{n}"] = sum((F.coalesce(F.lag(f"_own_{n}", i).over(blocks), F.lit(0.0)) * fade**i for i in range(1, lags + 1)), F.col(f"_own_{n}"))
+    before = ends.select(*entity, (F.col("_block") + 1).alias("_block"), *(c.alias(n) for n, c in carried.items()))
+    return own.join(before, [*entity, "_block"], "left").select(
+        *entity, "date", "load",
+        *((F.col(f"_own_{n}") + F.coalesce(F.col(f"_carried_{n}"), F.lit(0.0)) * F.pow(F.lit(k), F.col("_place") + 1)).alias(n) for n, k in keep.items()),
+    )
 
 
 def weekly_acwr_ewma(sessions: DataFrame, entity: list[str], value: str = "total_distance_m", history: int = 4) -> DataFrame:

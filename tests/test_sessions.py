@@ -107,3 +107,19 @@ def test_parse_label_variants(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "label string").select("label", parse_label(F.col("label")).alias("p")).select("label", "p.*")
     assert {r[0]: tuple(r)[1:] for r in rows.collect()} == cases
+
+
+def test_exponential_means_over_many_blocks_equal_the_recurrence(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(p, date(2000, 1, 1) + timedelta(days=i), float(rng.choice([0, 0, rng.randint(0, 12_000)]))) for p, n in ((1, 3000), (2, 1), (3, 128), (4, 129), (5, 700)) for i in range(n)]
+    spans = {"a": 7, "b": 28, "c": 200}
+    got = {(r["p"], r["date"]): r for r in load.ewma(spark.createDataFrame(rows, "p int, date date, load double").repartition(3), ["p"], spans).collect()}
+    assert len(got) == len(rows)
+    for p in range(1, 6):
+        for name, span in spans.items():
+            mean, rate = None, 2 / (span + 1)
+            for _, day, x in (r for r in rows if r[0] == p):
+                mean = x if mean is None else mean * (1 - rate) + x * rate
+                assert abs(got[p, day][name] - mean) <= 1e-9 * max(1, mean), (p, day, name)
