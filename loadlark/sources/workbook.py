@@ -255,11 +255,11 @@ def save_workbooks(log: DataFrame, by: list[str], folder: str) -> DataFrame:
         fs, top = place(own)
         fs.create_dir(top, recursive=True)
         name = "-".join(re.sub(r"\W+", "_", str(k.as_py())) for k in key)
-        path = f"{top}/{name}-{TaskContext.get().taskAttemptId()}.xlsx"
+        file = f"{name}-{TaskContext.get().taskAttemptId()}.xlsx"
         rows_ = table.select(names).to_pylist()
-        with fs.open_output_stream(path, compression=None) as out:
+        with fs.open_output_stream(f"{top}/{file}", compression=None) as out:
             write_book(out, sorted(rows_, key=lambda r: (r["date"], r["session_kind"])))
-        return pa.table({**{b: pa.array([k.as_py()], table.schema.field(b).type) for b, k in zip(by, key, strict=True)}, "path": [path]})
+        return pa.table({**{b: pa.array([k.as_py()], table.schema.field(b).type) for b, k in zip(by, key, strict=True)}, "path": [f"{own}/{file}"]})
 
     schema = T.StructType([*(log.schema[b] for b in by), T.StructField("path", T.StringType())])
     made = log.filter(F.col("date").isNotNull()).groupBy(*by).applyInArrow(write, schema)
