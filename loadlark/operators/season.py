@@ -62,18 +62,19 @@ def ranked(table: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
 
 
 def team_strength(matches: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """Attack and defence of each team relative to the mean goals of a team in a match."""
+    """Attack and defence of each team relative to the mean goals of a team in a match; both 0 where no team has scored."""
     goals = _sides(matches, keys).groupBy(*keys, "team").agg(F.sum("gf").alias("gf"), F.sum("ga").alias("ga"), F.count("*").alias("n"))
     league = Window.partitionBy(*keys)  # one row for each team
     mean = F.sum("gf").over(league) / F.sum("n").over(league)
+    attack = F.when(F.col("mean_goals") == 0, 0.0).otherwise(F.col("gf") / F.col("n") / F.col("mean_goals"))
     return goals.withColumn("mean_goals", mean).select(
-        *keys, "team", "mean_goals", (F.col("gf") / F.col("n") / F.col("mean_goals")).alias("attack"),
+        *keys, "team", "mean_goals", attack.alias("attack"),
         (F.col("mean_goals") / (F.col("ga") / F.col("n") + DEFENSE_SMOOTHING)).alias("defense"),
     )
 
 
 def expected_goals(fixtures: DataFrame, strength: DataFrame, goals_scale: float = 0.5) -> DataFrame:
-    """Means of both sides' goals; an unknown team counts as average.
+    """Means of both sides' goals; an unknown team counts as average, and without any goal so far none is expected.
 
     ``goals_scale`` 0.5 halves the mean of a team once more, as published
     predictions do; 1 leaves it.
@@ -82,12 +83,13 @@ def expected_goals(fixtures: DataFrame, strength: DataFrame, goals_scale: float
     one = strength.agg(F.coalesce(F.first("mean_goals"), F.lit(1.0)).alias("_level"))  # one row, whatever the input
     level = F.col("_level")
     known = lambda c: F.coalesce(F.col(c), F.lit(1.0))
+    against = lambda a, d: F.when(level == 0, 0.0).otherwise(known(a) / known(d))
     return (
         fixtures.join(side("home"), "home_team", "left").join(side("away"), "away_team", "left").join(F.broadcast(one))
         .withColumns(
             {
-                "home_xg": known("_home_a") / known("_away_d") * (level * goals_scale) * HOME_ADVANTAGE,
-                "away_xg": known("_away_a") / known("_home_d") * (level * goals_scale),
+                "home_xg": against("_home_a", "_away_d") * (level * goals_scale) * HOME_ADVANTAGE,
+                "away_xg": against("_away_a", "_home_d") * (level * goals_scale),
             }
         )
         .drop("_home_a", "_home_d", "_away_a", "_away_d", "_level")

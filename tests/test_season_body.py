@@ -83,6 +83,18 @@ def test_season_query_is_the_brute_force_of_all_remaining_fixtures(spark):
             assert abs(r[f"{name}_pct"] - 100 * want[:, k].mean()) < 0.051
 
 
+def test_season_without_any_goal_is_simulated(spark):
+    played = spark.createDataFrame([(1, "A", "B", 0, 0), (1, "C", "D", 0, 0)], MATCH)
+    rest = spark.createDataFrame([(2, "A", "C"), (2, "E", "D")], "matchweek_number int, home_team string, away_team string")
+    strength = {(r["attack"], r["defense"]) for r in season.team_strength(played).collect()}
+    assert strength == {(0.0, 0.0)}
+    assert {(r["home_xg"], r["away_xg"]) for r in season.expected_goals(rest, season.team_strength(played)).collect()} == {(0.0, 0.0)}
+    table, places = season.simulate(played, rest, 10, 7)
+    got = {r["team"]: r for r in table.collect()}
+    assert {t: (r["mean_points"], r["mean_goals_scored"]) for t, r in got.items()} == {"A": (2.0, 0.0), "B": (1.0, 0.0), "C": (2.0, 0.0), "D": (2.0, 0.0), "E": (1.0, 0.0)}
+    assert sorted(map(tuple, places.collect())) == [("A", 1, 10), ("B", 4, 10), ("C", 2, 10), ("D", 3, 10), ("E", 5, 10)]
+
+
 def test_poisson_draws_have_their_mean(spark):
     r = spark.range(20000).select(season.poisson(F.lit(1.3), season.uniform(F.lit(1), F.col("id"))).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
     assert abs(r[0] - 1.3) < 0.03 and abs(r[1] - 1.3) < 0.06
