@@ -10,23 +10,37 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .markup import Element, parse
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+_AT_ONCE = 1024  # pages
+
+
 def _parsed(pages: DataFrame, key: str, column: str, names: list[str], types: list[str], rows: Callable[[Element], Iterator[tuple]]) -> DataFrame:
     """``key`` and what ``rows`` gives for the tree of each page."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [(k, *x) for k, page in zip(f[key], f[column], strict=True) if page for x in rows(parse(page))]
-            yield pd.DataFrame(found, columns=[key, *names])
+    kinds = [_ARROW[t] for t in types]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, _AT_ONCE) for i in range(0, whole.num_rows, _AT_ONCE)):
+                at, found = [], []
+                for i, page in enumerate(b.column(1).to_pylist()):
+                    if page:
+                        tree = parse(page)
+                        for x in rows(tree):
+                            at.append(i)
+                            found.append(x)
+                        tree.page.clear()  # elements and their list hold each other
+                held = zip(*found, strict=True) if found else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(v, t) for v, t in zip(held, kinds, strict=True))], [key, *names])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, column).mapInPandas(read, f"`{key}` {kind}, " + ", ".join(f"`{n}` {t}" for n, t in zip(names, types, strict=True)))
+    return pages.select(key, column).mapInArrow(read, f"`{key}` {kind}, " + ", ".join(f"`{n}` {t}" for n, t in zip(names, types, strict=True)))
 
 
 def _rows(table: Element) -> Iterator[list[str]]:
@@ -37,16 +51,18 @@ def _rows(table: Element) -> Iterator[list[str]]:
             yield cells
 
 
-def html_table(pages: DataFrame, key: str, column: str, div_id: str, number: int = 0) -> DataFrame:
-    """``key, row, cells`` of the tables in the ``number``-th element with an id; a table in a cell belongs to that cell."""
+def _table(page: Element, div_id: str, number: int) -> list[list[str]]:
+    """The rows of the tables in the ``number``-th element with an id."""
+    places = [e for e in page.inside() if e.attrs.get("id") == div_id]
+    if len(places) <= number:
+        return []
+    tables = [places[number]] if places[number].tag == "table" else places[number].own("table", "table")
+    return [r for t in tables for r in _rows(t)]
 
-    def rows(page: Element):
-        places = [e for e in page.walk() if isinstance(e, Element) and e.attrs.get("id") == div_id]
-        if len(places) > number:
-            tables = [places[number]] if places[number].tag == "table" else places[number].own("table", "table")
-            yield from enumerate(r for t in tables for r in _rows(t))
 
-    return _parsed(pages, key, column, ["row", "cells"], ["int", "array<string>"], rows)
+def html_table(pages: DataFrame, key: str, column: str, div_id: str, number: int = 0) -> DataFrame:
+    """``key, row, cells`` of the tables in the ``number``-th element with an id; a table in a cell belongs to that cell."""
+    return _parsed(pages, key, column, ["row", "cells"], ["int", "array<string>"], lambda page: enumerate(_table(page, div_id, number)))
 
 
 def outline(pages: DataFrame, key: str, column: str) -> DataFrame:
@@ -154,9 +170,14 @@ def player_stats(pages: DataFrame, key: str, column: str, div_id: str = "team_ga
     A nameless first column is the ``Competition``, and empty in the row of the
     ``Total``; other nameless ones are called by their place. ``key`` is unique.
     """
-    rows = html_table(pages, key, column, div_id)
-    names = F.first("cells").over(Window.partitionBy(key).orderBy("row"))
-    cells = rows.withColumn("names", names).filter("row > 0").select(key, "row", "cells", F.posexplode("names").alias("at", "head"))
+
+    def rows(page: Element):
+        head, *others = _table(page, div_id, 0) or [[]]
+        for i, cells in enumerate(others, 1):
+            yield i, head, cells
+
+    read = _parsed(pages, key, column, ["row", "names", "cells"], ["int", "array<string>", "array<string>"], rows)
+    cells = read.select(key, "row", "cells", F.posexplode("names").alias("at", "head"))
     value, lead = F.get("cells", F.col("at")), (F.col("at") == 0) & (F.col("head") == "")
     name = F.when(lead, "Competition").when(F.col("head") == "", F.concat(F.lit("col_"), F.col("at").cast("string"))).otherwise(F.col("head"))
     return cells.select(key, "row", name.alias("name"), F.when(lead & (value == ""), "Total").otherwise(value).alias("value"))

@@ -199,6 +199,33 @@ def test_tables_and_blocks_inside_of_each_other(spark):
     assert [(r["row"], r["cells"]) for r in got.collect()] == [(0, ["a", "b"]), (1, ["1", "2x<ynm"]), (2, ["3"])]
 
 
+def test_plain_pages_have_the_tree_of_the_full_parser():
+    from loadlark.sources import markup
+
+    def seen(e):
+        return (e.tag, e.attrs, sorted(e.classes), e.order, e.last, [c if isinstance(c, str) else seen(c) for c in e.children])
+
+    def full(page):
+        builder = markup._Builder()
+        builder.feed(page)
+        builder.close()
+        return builder.done()
+
+    bits = ["<div class='a b'>", "</div>", "<p>", "</p>", "<table>", "</table>", "<tr>", "<td\n id=x>", "</TD>", "<br/>", "<b>", "</b>", "<a href=\"/x?a=1\">", "</a>", "t &amp; u", " &lt", "<li>", "<ul>", "<input disabled>"]
+    odd = ["<!-- c -->", "<script>a<b</script>", "<title>t&amp</title>", " < ", "<a b='c>d'>", "</>", "<x-y>", "<div id=x/>", "<a href='?a&amp;b'>"]
+    pages_ = ["".join(bits[(i * 7 + k * k * (i + 3)) % len(bits)] for k in range(14)) for i in range(200)]
+    assert all(markup._plain(p) is not None and seen(markup.parse(p)) == seen(full(p)) for p in pages_)
+    mixed = [p[: len(p) // 2] + odd[i % len(odd)] + p[len(p) // 2 :] for i, p in enumerate(pages_)]
+    assert all(seen(markup.parse(p)) == seen(full(p)) for p in mixed)
+
+
+def test_player_stats_need_one_pass_of_the_pages(spark):
+    page = "<div id='team_games'><table><tr><th><th>J<th></tr><tr><td>Liga<td>3<td>x<tr><td><td><b>5</b></table></div>"
+    got = pages.player_stats(spark.createDataFrame([("u", page), ("none", "<p>"), ("head", "<div id='team_games'><table><tr><td>J</table>")], "u string, h string"), "u", "h")
+    assert sorted(map(tuple, got.collect())) == [("u", 1, "Competition", "Liga"), ("u", 1, "J", "3"), ("u", 1, "col_2", "x"), ("u", 2, "Competition", "Total"), ("u", 2, "J", "5"), ("u", 2, "col_2", None)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_what_is_not_closed_or_never_opened():
     root = parse("</p><p>one<b>bold<p>two</b><div>three</span><ul><li>a<li>b<ul><li>c</ul><li>d</ul></div></body>tail<script>x='</p><p>'</script><br/><p/>&amp;&nbsp;<img src=a>")
     assert [p.text() for p in root.all("p")] == ["onebold", "two", "&"] or [p.text() for p in root.all("p")] == ["onebold", "two", ""]
