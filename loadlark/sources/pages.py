@@ -65,13 +65,22 @@ def html_table(pages: DataFrame, key: str, column: str, div_id: str, number: int
     return _parsed(pages, key, column, ["row", "cells"], ["int", "array<string>"], lambda page: enumerate(_table(page, div_id, number)))
 
 
-def outline(pages: DataFrame, key: str, column: str) -> DataFrame:
-    """``key, lang, title, links, paragraphs``: labels of the links and texts of the paragraphs, in order."""
+#: An ampersand that begins no reference which a semicolon ends.
+_UNENDED = "&(?!(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);)"
+
+
+def outline(pages: DataFrame, key: str, column: str, ended: bool = False) -> DataFrame:
+    """``key, lang, title, links, paragraphs``: labels of the links and texts of the paragraphs, in order.
+
+    Browsers read some references that no semicolon ends, too; with ``ended`` these stay as they are written.
+    """
 
     def rows(page: Element):
         html, title = page.first("html"), page.first("title")
         yield html and html.attrs.get("lang"), title and title.text(), [a.text() for a in page.all("a")], [p.text() for p in page.all("p")]
 
+    if ended:
+        pages = pages.withColumn(column, F.regexp_replace(column, _UNENDED, "&amp;"))
     return _parsed(pages, key, column, ["lang", "title", "links", "paragraphs"], ["string", "string", "array<string>", "array<string>"], rows)
 
 

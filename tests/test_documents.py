@@ -199,6 +199,14 @@ def test_tables_and_blocks_inside_of_each_other(spark):
     assert [(r["row"], r["cells"]) for r in got.collect()] == [(0, ["a", "b"]), (1, ["1", "2x<ynm"]), (2, ["3"])]
 
 
+def test_references_without_a_semicolon(spark):
+    page = "<html lang=en><title>a&amp;&amp</title><p>x &lt;b &lt c &amp;lt &#65;&#65<p><a href='/?a=1&amp=2'>&quot;q&quot</a>"
+    frame = spark.createDataFrame([(1, page)], "k int, h string")
+    read = lambda **how: tuple(pages.outline(frame, "k", "h", **how).select("title", "paragraphs", "links").first())
+    assert read(ended=True) == ("a&&amp", ["x <b &lt c &lt A&#65", '"q&quot'], ['"q&quot'])
+    assert read() == ("a&&", ["x <b < c &lt AA", '"q"'], ['"q"'])
+
+
 def test_plain_pages_have_the_tree_of_the_full_parser():
     from loadlark.sources import markup
 
