@@ -17,6 +17,10 @@ LABEL = (
     rf"[\s–-]*(.*?)[\s–-]*\(\s*({'|'.join(_VENUES)})\s*\)(?:.*?{_GOALS}\s*[–-]\s*{_GOALS}\s*$)?"
 )
 
+#: A label as its groups, the opponent last as it may hold anything; a text that isn't a label as empty ones.
+_CUT = "\u0001"
+_ANY = rf"(?s)(?:{LABEL}.*|\A.+)"
+
 
 def blank(c: Column) -> Column:
     """Null for the empty string."""
@@ -30,7 +34,13 @@ def parse_label(label: Column) -> Column:
     brackets all fields are null. Scores are home first; ``?`` keeps the score
     line alone. The matchweek keeps a play-off suffix.
     """
-    week, opponent, place, home, away = (blank(F.regexp_extract(label, LABEL, i)) for i in range(1, 6))
+    # one match gives all groups, and a lambda's variable holds them, so that no field runs the pattern again
+    groups = F.split(F.regexp_replace(label, _ANY, _CUT.join(f"${i}" for i in (1, 3, 4, 5, 2))), _CUT, 5)
+    return F.transform(F.array(groups), _label_fields)[0]
+
+
+def _label_fields(groups: Column) -> Column:
+    week, place, home, away, opponent = (blank(F.get(groups, F.lit(i))) for i in range(5))
     at_home = F.lower(place) == "casa"
     own, other = F.when(at_home, home).otherwise(away).try_cast("int"), F.when(at_home, away).otherwise(home).try_cast("int")
     known = own.isNotNull() & other.isNotNull()

@@ -100,6 +100,13 @@ def test_poisson_draws_have_their_mean(spark):
     assert abs(r[0] - 1.3) < 0.03 and abs(r[1] - 1.3) < 0.06
 
 
+def test_a_label_is_matched_once(spark):
+    rows = [("Jornada 3 - A\u0001B $1 (CASA) 2-1",), ("no label",), ("",), (None,)]
+    parsed = spark.createDataFrame(rows, "l string").select("l", text.parse_label(F.col("l")).alias("p")).select("l", "p.*")
+    assert [tuple(r)[1:] for r in parsed.collect()] == [("A\u0001B $1", "home", 2, 1, "2-1", "W", "3")] + [(None,) * 7] * 3
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("jornada") == 1
+
+
 def test_labels(spark):
     rows = [("Jogo Taça -Canedo(CASA) 1-0",), ("Jornada 4 - Sub23 Rui (Fora) 5-1",), ("Jogo Treino X (CASA) ?-?",), ("Treino",), ("Jornada 1 Ap.Campeão - C (CASA) 1-1",), (None,)]
     got = [r["p"] for r in spark.createDataFrame(rows, "l string").select(text.parse_label(F.col("l")).alias("p")).collect()]
