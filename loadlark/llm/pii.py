@@ -7,10 +7,10 @@ coarse features of its format (sign, digits, groups, separators, how it ends) an
 context (the characters on either side, a cue word before it); none says whether
 a base format matches.
 
-The trees are trained on a bounded sample of documents. Right are candidates over
+The trees are trained on all documents. Right are candidates over
 planted forms, personal data as people write it around filters, set into pieces
-of the sample's own text with and without a cue word, and those over base spans;
-wrong are the sample's other candidates and planted look-alikes (dates, order
+of each document's own text with and without a cue word, and those over base spans;
+wrong are the documents' other candidates and planted look-alikes (dates, order
 numbers, versions, times, book numbers, a site after "at"). All candidates fall
 into cells of equal features, on which boosting of depth-two trees runs. The cells
 of every fifth document are held out and calibrate one cut for each generator: the
@@ -62,9 +62,6 @@ FEATURES = {
 
 @dataclass(frozen=True)
 class Fit:
-    """``max_documents`` bounds the sample at any input size."""
-
-    max_documents: int = 6_000
     rounds: int = 60
     rate: float = 0.3
     right: float = 0.9
@@ -263,14 +260,13 @@ def _forms(words: Column, seed: Column) -> Column:
     )
 
 
-def examples(docs: DataFrame, how: Fit = Fit()) -> DataFrame:
-    """``held, source, right, c`` of the sample's candidates ``c``; ``source`` is ``planted``, ``base`` or ``text``."""
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.max_documents)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(
+def examples(docs: DataFrame) -> DataFrame:
+    """``held, source, right, c`` of all documents' candidates ``c``; ``source`` is ``planted``, ``base`` or ``text``. Rows without an id teach nothing."""
+    every = docs.select("doc_id", "text").filter("doc_id is not null").select(
         F.xxhash64("doc_id").alias("seed"), (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held"), F.coalesce("text", F.lit("")).alias("text")
     )
     at = F.pmod(F.xxhash64("seed", F.lit(0)), F.greatest(F.length("text") - 40, F.lit(1))).cast("int") + 1
-    pieces = sample.select(
+    pieces = every.select(
         "seed", "held",
         F.regexp_replace(F.substring("text", at, F.lit(24)), "^\\S+", "").alias("left"), F.regexp_replace(F.substring("text", at + 24, F.lit(24)), "^\\S+|\\S+$", "").alias("right"),
         F.regexp_extract_all(F.substring("text", at, F.lit(400)), F.lit("[A-Za-z]{3,12}"), F.lit(0)).alias("words"),
@@ -285,7 +281,7 @@ def examples(docs: DataFrame, how: Fit = Fit()) -> DataFrame:
         .filter(over & (F.col("c.kind_no") == F.col("gen")))
         .select("held", F.lit("planted").alias("source"), F.col("good").alias("right"), "c")
     )
-    found = sample.select("held", let(F.col("text"), lambda x: F.struct(base_spans(x).alias("b"), candidates(x).alias("c"))).alias("s")).filter(F.size("s.c") > 0)
+    found = every.select("held", let(F.col("text"), lambda x: F.struct(base_spans(x).alias("b"), candidates(x).alias("c"))).alias("s")).filter(F.size("s.c") > 0)
     found = found.select("held", F.col("s.b").alias("b"), F.explode("s.c").alias("c"))
     found = found.select("held", _overlaps(F.col("c"), F.col("b")).alias("right"), "c").select(
         "held", F.when(F.col("right"), "base").otherwise("text").alias("source"), "right", "c"
@@ -294,8 +290,8 @@ def examples(docs: DataFrame, how: Fit = Fit()) -> DataFrame:
 
 
 def fit(docs: DataFrame, how: Fit = Fit()) -> Model:
-    """Counts the candidates of the sample of ``docs(doc_id, text)``; at most a row for each cell comes to the driver."""
-    each = examples(docs, how).select("held", (F.col("source") == "base").alias("base"), "right", features(F.col("c")).alias("f"))
+    """Counts the candidates of all ``docs(doc_id, text)``; at most a row for each cell comes to the driver."""
+    each = examples(docs).select("held", (F.col("source") == "base").alias("base"), "right", features(F.col("c")).alias("f"))
     cells = each.groupBy("held", "base", "f").agg(F.count_if("right").alias("good"), F.count_if(~F.col("right")).alias("bad")).collect()
     train: dict[tuple[int, ...], list[int]] = {}
     test: dict[tuple[int, ...], list[int]] = {}
