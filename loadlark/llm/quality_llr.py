@@ -4,8 +4,8 @@ Words and word pairs are hashed into buckets. Two multinomials over the buckets,
 one of trusted texts and one of the whole corpus, give each bucket a log ratio; a
 text's score is the mean over its n-grams, so that its length doesn't count.
 Every document is thresholded at one fixed value: the score that all but a small
-share of the trusted texts reach. Corpus counts cover all rows; the trusted
-sample has a documented bound. All of it is DataFrame expressions: a text's words
+share of the trusted texts reach. Corpus counts cover all rows, and trusted ones
+all texts that are labelled so. All of it is DataFrame expressions: a text's words
 stay in one row, the ratio table is a constant of the plan whose size depends on
 the number of buckets alone.
 
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let
+from .common import SPACE, Workspace, let
 
 SPACES = " \t\n\x0b\f\r"
 
@@ -30,7 +30,6 @@ SPACES = " \t\n\x0b\f\r"
 @dataclass(frozen=True)
 class Fit:
     buckets: int = 1 << 13
-    max_trusted: int = 20_000
     #: Share of trusted texts that may fall below the cut.
     rejected: float = 0.005
     #: How far below that quantile the cut lies.
@@ -100,24 +99,26 @@ def ratio_of(g: Column, table: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
-    """Counts every text of ``docs``; trusted are those with ``quality = 1``, at most ``max_trusted`` by a hash of the id.
+    """Counts every text of ``docs``; trusted are all those with ``quality = 1``.
 
     A fifth of the trusted texts isn't counted as such and sets the cut, so that
-    it holds for texts that the counts haven't seen.
+    it holds for texts that the counts haven't seen. They are looked up once and
+    saved until both are done; their scores are counted in steps of 0.0001, so
+    that the quantile comes from a table that doesn't grow with them.
     """
-    trusted = (
-        labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.max_trusted)
-        .withColumn("_trusted", F.when(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0, 0).otherwise(1))
-    )
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
-    counted = (
-        marked.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(let(words(F.col("text")), lambda w: grams(w, how.buckets))).alias("g"))
-        .groupBy("g").agg(F.count("*").alias("n"), F.sum("t").alias("t")).collect()
-    )  # 2 * buckets rows at most
-    n, t = [0] * (2 * how.buckets), [0] * (2 * how.buckets)
-    for r in counted:
-        n[r["g"]], t[r["g"]] = r["n"], r["t"]
+    trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    ids = trusted.withColumn("_trusted", F.when(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0, 0).otherwise(1))
+    place = Workspace(docs.sparkSession)
+    marked = place.save(docs.select("doc_id", "text").join(ids, "doc_id").select("_trusted", "text"))
+
+    def counts(texts: DataFrame) -> list[int]:
+        found = texts.select(F.explode(let(words(F.col("text")), lambda w: grams(w, how.buckets))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+        held = [0] * (2 * how.buckets)
+        for r in found.collect():  # 2 * buckets rows at most
+            held[r["g"]] = r["n"]
+        return held
+
+    n, t = counts(docs), counts(marked.filter("_trusted = 1"))
     ratio: list[float] = []
     for part in (slice(0, how.buckets), slice(how.buckets, None)):
         total_n, total_t = sum(n[part]), sum(t[part])
@@ -129,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     scores = marked.filter("_trusted = 0").select(
         let(words(F.col("text")), lambda w: F.when(F.size(w) >= 50, ratio_of(grams(w, how.buckets), model.table()))).alias("s")
     )
-    cut = scores.agg(F.percentile("s", how.rejected).alias("q")).first()["q"]
+    steps = scores.filter("s is not null").groupBy(F.round("s", 4).alias("s")).agg(F.count("*").alias("n"))
+    cut = steps.agg(F.percentile("s", how.rejected, F.col("n")).alias("q")).first()["q"]
+    place.drop(marked)
     return Model(tuple(ratio), round(cut - how.slack, 6) if cut is not None else -math.inf)
 
 
