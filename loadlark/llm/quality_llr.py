@@ -22,8 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Workspace, let
+from .common import SPACE, let
 
+#: Bits of the table that is asked before ids are looked up: 2 MB.
+ID_BITS = 1 << 24
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -98,18 +100,32 @@ def ratio_of(g: Column, table: Column) -> Column:
     )
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is in ``ids``, of the same type.
+
+    ``ids`` are looked up by a shuffle, whose size follows the texts. So that only
+    texts with a chance are shuffled, a table of ``ID_BITS`` bits, one set by the
+    hash of each id, goes before it; it is broadcast and doesn't grow with the ids.
+    """
+    word, bit = F.expr(f"pmod(xxhash64(doc_id), {ID_BITS}L) div 64"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64L) as int))")
+    held = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    likely = docs.join(F.broadcast(held), (word == F.col("_word")) & (bit.bitwiseAND(F.col("_bits")) != 0), "left_semi")
+    return likely.join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+
+
 def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     """Counts every text of ``docs``; trusted are all those with ``quality = 1``.
 
     A fifth of the trusted texts isn't counted as such and sets the cut, so that
-    it holds for texts that the counts haven't seen. They are looked up once and
-    saved until both are done; their scores are counted in steps of 0.0001, so
-    that the quantile comes from a table that doesn't grow with them.
+    it holds for texts that the counts haven't seen. Each part is looked up where
+    it is needed, and no text is saved; the fifth's scores are counted in steps of
+    0.0001, so that the quantile comes from a table that doesn't grow with them.
     """
-    trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    ids = trusted.withColumn("_trusted", F.when(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0, 0).otherwise(1))
-    place = Workspace(docs.sparkSession)
-    marked = place.save(docs.select("doc_id", "text").join(ids, "doc_id").select("_trusted", "text"))
+    texts = docs.select("doc_id", "text")
+    same = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")  # hashes depend on the type
+    trusted = labels.filter("quality = 1 and doc_id is not null").select(same)
+    fifth = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
+    counted, apart = (among(texts.filter(part), trusted.filter(part)) for part in (~fifth, fifth))
 
     def counts(texts: DataFrame) -> list[int]:
         found = texts.select(F.explode(let(words(F.col("text")), lambda w: grams(w, how.buckets))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
@@ -118,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
             held[r["g"]] = r["n"]
         return held
 
-    n, t = counts(docs), counts(marked.filter("_trusted = 1"))
+    n, t = counts(docs), counts(counted)
     ratio: list[float] = []
     for part in (slice(0, how.buckets), slice(how.buckets, None)):
         total_n, total_t = sum(n[part]), sum(t[part])
@@ -127,12 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
             good = (b + how.smoothing) / (total_t + how.smoothing * how.buckets)
             ratio.append(math.log(good / raw) if total_t else 0.0)
     model = Model(tuple(ratio), -math.inf)
-    scores = marked.filter("_trusted = 0").select(
+    scores = apart.select(
         let(words(F.col("text")), lambda w: F.when(F.size(w) >= 50, ratio_of(grams(w, how.buckets), model.table()))).alias("s")
     )
     steps = scores.filter("s is not null").groupBy(F.round("s", 4).alias("s")).agg(F.count("*").alias("n"))
     cut = steps.agg(F.percentile("s", how.rejected, F.col("n")).alias("q")).first()["q"]
-    place.drop(marked)
     return Model(tuple(ratio), round(cut - how.slack, 6) if cut is not None else -math.inf)
 
 

@@ -239,6 +239,19 @@ def test_quality_scores_equal_brute_force(spark):
         assert r["kept"] == (not r["base_failed"] and score[i] >= cut), i
 
 
+def test_quality_looks_up_trusted_texts_alone(spark, monkeypatch):
+    """All rows of trusted ids, repeated ones too, at any number of bits; other texts meet the bits and no shuffle, however Spark would join."""
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(-500, 500)] + [(7, "again"), (None, "none")], DOCS)
+    ids = spark.createDataFrame([(i,) for i in (*range(-20, 20), 7, 10_000)], "doc_id long")
+    want = sorted([(i, f"t{i}") for i in range(-20, 20)] + [(7, "again")])
+    for bits in (64, 1 << 24):
+        monkeypatch.setattr(quality_llr, "ID_BITS", bits)
+        found = quality_llr.among(docs, ids)
+        assert sorted(tuple(r) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 60) + (" you idiot scum " if i % 5 == 0 else " ") + prose(rng, 10)) for i in range(600)]
