@@ -85,14 +85,20 @@ def acwr_stream(spark, d):
     late = (F.month(day) == 12) & (F.dayofmonth(day) >= 27) & (k % 3 == 0)
     year = F.year(day) + F.when(late, 1).otherwise(0)
     lot = F.when(year <= 1993, 0).when(year <= 1995, 1).otherwise(2)
-    columns = ["player_id", "session_id", "version", "ts", "total_distance_m", "lot"]
-    right = sent.withColumns({"version": F.lit(1).cast("long"), "lot": lot})
-    wrong = right.filter(k % 5 == 0).withColumns({"version": F.lit(0).cast("long"), "total_distance_m": F.lit(999.0)})
-    events = right.select(*columns).unionByName(wrong.select(*columns)).unionByName(right.filter(k % 9 == 0).select(*columns))
+    # each session as it is sent: right, first wrong, twice; one pass over the sessions for all lots
+    sends = F.array_compact(F.array(
+        F.struct(F.lit(1).cast("long").alias("version"), F.col("total_distance_m").alias("total_distance_m")),
+        F.when(k % 5 == 0, F.struct(F.lit(0).cast("long").alias("version"), F.lit(999.0).alias("total_distance_m"))),
+        F.when(k % 9 == 0, F.struct(F.lit(1).cast("long").alias("version"), F.col("total_distance_m").alias("total_distance_m"))),
+    ))
     home = _folder(spark, "stream")
+    sent.select("player_id", "session_id", F.explode(sends).alias("s"), "ts", lot.alias("lot")).select(
+        "player_id", "session_id", "s.version", "ts", "s.total_distance_m", "lot"
+    ).write.partitionBy("lot").parquet(f"{home}/lots")
+    schema = "player_id long, session_id long, version long, ts timestamp, total_distance_m double"
     for n in range(3):
-        events.filter(F.col("lot") == n).drop("lot").write.mode("append").parquet(f"{home}/in")
-        arriving = spark.readStream.schema("player_id long, session_id long, version long, ts timestamp, total_distance_m double").parquet(f"{home}/in")
+        spark.read.schema(f"{schema}, lot int").parquet(f"{home}/lots").filter(F.col("lot") == n).drop("lot").write.mode("append").parquet(f"{home}/in")
+        arriving = spark.readStream.schema(schema).parquet(f"{home}/in")
         run_available(daily_acwr_stream(arriving, E), f"{home}/out", f"{home}/checkpoint")
     return spark.read.schema("player_id long, date date, load double, acute double, chronic double, acwr double").parquet(f"{home}/out/batch=*")
 

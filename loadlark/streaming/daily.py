@@ -8,7 +8,7 @@ session as 0.
 
 An entity's state is its open sessions, those of days that aren't final, and the
 loads of its last 34 final days, whatever the stream's length. One timer an entity
-waits for the end of its first open day.
+waits for the end of its first open day. Sessions are kept and merged as arrays.
 
 Defined cases: a row without an entity, an id or a time is passed over; one without a
 load counts as 0; of equal versions the greater day and load stays; what belongs to a
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,19 @@ from ..functions.numbers import half_even
 DAY_MS = 86_400_000
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+#: What is kept of an open session: its id, version, day and load.
+OPEN = ("<i8", "<i8", "<i4", "<f8")
+#: Rows of an entity that are merged at once.
+AT_ONCE = 1 << 20
+
+
+def latest(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of each session's rows the one with the greatest version, day and load."""
+    ids, versions, days, loads = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((loads, days, versions, ids))
+    last = order[np.append(ids[order][1:] != ids[order][:-1], True)] if len(order) else order
+    return ids[last], versions[last], days[last], loads[last]
+
 
 class DailyLoads(StatefulProcessor):
     """``day, load, acute, chronic`` of each day that is final; ``acute`` and ``chronic`` are null until their days are full."""
@@ -42,53 +56,52 @@ class DailyLoads(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "ids array<bigint>, versions array<bigint>, days array<int>, loads array<double>")
+        self.open = handle.getValueState("open", "ids binary, versions binary, days binary, loads binary")
         self.final = handle.getValueState("final", "day int, loads array<double>")
 
-    def _open(self) -> dict[int, tuple[int, int, float]]:
-        if not self.open.exists():
-            return {}
-        ids, *rest = self.open.get()
-        return dict(zip(ids, zip(*rest, strict=True), strict=True))
+    def _open(self) -> tuple[np.ndarray, ...]:
+        """Ids, versions, days and loads of the open sessions, a session once."""
+        held = self.open.get() if self.open.exists() else (b"",) * len(OPEN)
+        return tuple(np.frombuffer(x, t) for x, t in zip(held, OPEN, strict=True))
 
-    def _keep(self, sessions: dict[int, tuple[int, int, float]]) -> None:
+    def _keep(self, sessions: tuple[np.ndarray, ...]) -> None:
         """Saves what is open and waits for the end of its first day."""
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if not sessions:
+        if not len(sessions[0]):
             self.open.clear()
             return
-        versions, days, loads = zip(*sessions.values(), strict=True)
-        self.open.update((list(sessions), list(versions), list(days), list(loads)))
-        self.handle.registerTimer((min(days) + 1) * DAY_MS)
+        self.open.update(tuple(x.tobytes() for x in sessions))
+        self.handle.registerTimer((int(sessions[2].min()) + 1) * DAY_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sessions = self._open()
+        found, size = [self._open()], 0
         last = self.final.get()[0] if self.final.exists() else None
         for frame in rows:
-            for i, version, day, load in zip(frame["session_id"], frame["version"], frame["day"], frame["load"], strict=True):
-                new = (int(version), int(day), float(load))
-                if (last is None or new[1] > last) and (i not in sessions or new > sessions[i]):
-                    sessions[int(i)] = new
-        self._keep(sessions)
+            new = tuple(frame[c].to_numpy(t) for c, t in zip(("session_id", "version", "day", "load"), OPEN, strict=True))
+            found.append(new if last is None else tuple(x[new[2] > last] for x in new))
+            size += len(new[0])
+            if size > max(AT_ONCE, len(found[0][0])):  # rows sent again don't pile up
+                found, size = [latest(found)], 0
+        self._keep(latest(found))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         sessions = self._open()
         until = timerValues.getCurrentWatermarkInMs() // DAY_MS - 1  # the last day that is over
-        over = {i: s for i, s in sessions.items() if s[1] <= until}
-        if over:
-            totals: dict[int, float] = {}
-            for _, day, load in over.values():
-                totals[day] = totals.get(day, 0.0) + load
-            before, loads = self.final.get() if self.final.exists() else (min(totals) - 1, [])
+        over = sessions[2] <= until
+        if over.any():
+            days, loads_of = sessions[2][over], sessions[3][over]
+            first = int(days.min())
+            totals = np.bincount(days - first, loads_of)
+            before, loads = self.final.get() if self.final.exists() else (first - 1, [])
             loads, out = list(loads), []
-            for day in range(before + 1, max(totals) + 1):
-                loads = [*loads[-(self.acute + self.chronic - 1) :], totals.get(day, 0.0)]
+            for day in range(before + 1, first + len(totals)):
+                loads = [*loads[-(self.acute + self.chronic - 1) :], float(totals[day - first]) if day >= first else 0.0]
                 near, far = loads[-self.acute :], loads[: -self.acute]
                 out.append((day, loads[-1], sum(near) if len(near) == self.acute else None, sum(far) / self.chronic * self.acute if len(far) == self.chronic else None))
-            self.final.update((max(totals), loads[-(self.acute + self.chronic - 1) :]))
-            self._keep({i: s for i, s in sessions.items() if i not in over})
+            self.final.update((first + len(totals) - 1, loads[-(self.acute + self.chronic - 1) :]))
+            self._keep(tuple(x[~over] for x in sessions))
             yield pd.DataFrame([(*key, *x) for x in out], columns=[*self.names, "day", "load", "acute", "chronic"])
 
     def close(self) -> None:

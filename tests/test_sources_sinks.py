@@ -220,3 +220,42 @@ def test_daily_stream_with_late_and_corrected_rows_and_a_restart(spark, tmp_path
     batch = load.daily_acwr(load.daily_load(spark.createDataFrame(final, schema).withColumn("date", F.to_date("ts")), ["player_id"], "load_m"), ["player_id"])
     assert got == {(r["player_id"], r["date"]): (r["load"], r["acute"], r["chronic"], r["acwr"]) for r in batch.collect()}
     assert len(got) == 79 + 78 and max(sizes) <= 6  # two values an entity and its timer, whatever has passed through
+
+
+def test_open_sessions_are_merged_as_arrays(monkeypatch):
+    """Rows in many frames, merged whenever they are more than a few, against the greatest (version, day, load) of each session."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+    from loadlark.streaming import daily
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, x):
+            self.held = x
+
+    class Timers:
+        times: list = []
+        listTimers = lambda self: list(self.times)
+        deleteTimer = lambda self, x: self.times.remove(x)
+        registerTimer = lambda self, x: self.times.append(x)
+
+    monkeypatch.setattr(daily, "AT_ONCE", 20)
+    rng, made = random.Random(3), daily.DailyLoads()
+    made.handle, made.open, made.final = Timers(), Value(), Value()
+    made.final.update((4, [1.0]))
+    rows = [(rng.randrange(60), rng.randrange(3), rng.randrange(10), float(rng.randrange(9))) for _ in range(900)]
+    for part in (rows[:500], rows[500:]):
+        frames = [pd.DataFrame(part[i : i + 37], columns=["session_id", "version", "day", "load"]) for i in range(0, len(part), 37)]
+        assert list(made.handleInputRows((1,), iter(frames), None)) == []
+    want = {}
+    for i, *new in rows:
+        if new[1] > 4:
+            want[i] = max(want.get(i, new), new)
+    got = [np.frombuffer(x, t).tolist() for x, t in zip(made.open.held, daily.OPEN, strict=True)]
+    assert {i: [*x] for i, *x in zip(*got, strict=True)} == want and len(got[0]) == len(want)
+    assert made.handle.times == [(min(x[1] for x in want.values()) + 1) * daily.DAY_MS]
