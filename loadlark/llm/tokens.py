@@ -4,8 +4,8 @@ A byte-level or word-level tokenizer never joins text across a single space or
 line end that stands between two words, so the ids of a text are those of its
 words, each with the space before it, and those of letters with punctuation
 behind them are those of the letters and of the punctuation. Words repeat, so
-each task keeps the ids of the words it has met (up to ``KEPT``) and encodes only
-new ones, many in one call. Texts with other runs of white space are encoded whole.
+each task keeps the ids of the words it has met (up to ``KEPT``, then it starts
+anew) and encodes only new ones. Texts with other runs of white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.lower = self.tokenizer.model, self.tokenizer.normalizer is not None
         self.spaced = self.whole(" a") != self.whole("a")
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._word)
         self.marks: dict[str, bytes] = {}
         # Latin letters whose words the merges alone get right: none in a vocabulary of another
         # kind, and not those whose lower case is more than a letter
@@ -61,9 +61,10 @@ class Encoder:
 
     def _letters(self, word: str, after_space: bool) -> bytes:
         """Ids of a word of Latin letters, straight from the model's merges."""
-        if self.lower:
-            word = unicodedata.normalize("NFC", word).lower()
-        piece = word.encode().decode("latin-1").translate(_BYTES)
+        if word.isascii():  # letters stand for themselves
+            piece = word.lower() if self.lower else word
+        else:
+            piece = (unicodedata.normalize("NFC", word).lower() if self.lower else word).encode().decode("latin-1").translate(_BYTES)
         if after_space and self.spaced:
             piece = "\u0120" + piece
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
@@ -75,50 +76,40 @@ class Encoder:
             self.marks[mark] = self.whole(mark)
         return self.marks[mark]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that follow a space; a word that starts with a line end follows none."""
-        out = {}
-        for w in words:
-            new_line = w[:1] == "\n"
-            core = w[1:] if new_line else w
-            stem = core.rstrip(_MARKS)
-            if stem and self.letters.issuperset(stem):
-                ids = self._letters(stem, not new_line)
-                if new_line:
-                    ids = self._mark("\n") + ids
-                out[w] = ids + self._mark(core[len(stem) :]) if len(stem) < len(core) else ids
-            else:
-                out[w] = self.whole(w if new_line else " " + w)
-        return out
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that follows a space; one that starts with a line end follows none."""
+        new_line = word[:1] == "\n"
+        core = word[1:] if new_line else word
+        stem = core.rstrip(_MARKS)
+        if not (stem and self.letters.issuperset(stem)):
+            return self.whole(word if new_line else " " + word)
+        ids = self._letters(stem, not new_line)
+        if new_line:
+            ids = self._mark("\n") + ids
+        return ids + self._mark(core[len(stem) :]) if len(stem) < len(core) else ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), TEXTS_AT_ONCE):
-            part = texts[i : i + TEXTS_AT_ONCE]
-            split = [None if _ODD.search(t) else t.replace("\n", " \n").split(" ") for t in part]
-            new = set().union(*(s[1:] for s in split if s)).difference(self.known)
-            ids = self.known
-            if new:
-                learned = self._learn(list(new))
-                if len(self.known) + len(learned) <= KEPT:
-                    self.known |= learned
-                else:
-                    ids = {**self.known, **learned} if len(learned) > len(self.known) else _Two(self.known, learned)
-            for t, s in zip(part, split, strict=True):
-                if s is None:
-                    yield self.whole(t)
-                else:
-                    yield (self.whole(s[0]) if s[0] else b"") + b"".join(map(ids.__getitem__, s[1:]))
-
-
-class _Two(dict):
-    """The kept words, and those of this part beside them."""
-
-    def __init__(self, known: dict, more: dict):
-        super().__init__(more)
-        self.known = known
+        ids = self.known.__getitem__
+        for t in texts:
+            if _ODD.search(t):
+                yield self.whole(t)
+            else:
+                first, *rest = t.replace("\n", " \n").split(" ")
+                yield (self.whole(first) if first else b"") + b"".join(map(ids, rest))
+
+
+class _Known(dict):
+    """Ids of the words met so far, found as they are asked for; started anew once ``KEPT`` are held."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
 
     def __missing__(self, word: str) -> bytes:
-        return self.known[word]
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = ids = self.find(word)
+        return ids
 
 
 def encoder(path: str) -> Encoder:

@@ -515,3 +515,16 @@ def test_word_hashes_tell_words_apart():
     h = A.word_hashes(data, s, e)
     assert [bytes(data[a:b]) for a, b in zip(s, e, strict=True)] == [b"ab", b"ca", b"b", b"ab"] and first.tolist() == [0, 2, 4]
     assert h[0] == h[3] and len(set(h.tolist())) == 3
+
+
+def test_words_are_encoded_once_and_started_anew(monkeypatch):
+    """A word is encoded when it is first met, with no pass over a part's words before; at ``KEPT`` words the ids stay right."""
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        texts = ["alpha beta alpha", "beta, gamma\nalpha Ünï été!", "", " x", "a  b", *(f"w{i} word{i % 7}." for i in range(60))]
+        for kept in (1_000_000, 5):
+            monkeypatch.setattr(tokens, "KEPT", kept)
+            enc, asked = tokens.Encoder(tokens.default_path(name)), []
+            find = enc.known.find
+            enc.known.find = lambda w, find=find, asked=asked: asked.append(w) or find(w)
+            assert list(enc.encode(texts)) == [enc.whole(t) for t in texts] and len(enc.known) <= kept
+            assert kept == 5 or len(asked) == len(set(asked)) > 10
